@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, table
+from .common import LOWER, UPPER, table
+from .decontaminate import decontaminate
+from .fingerprint import edited_fingerprints
+from .fixity import FILE_BITS, fixity
 from .licenses import CONTAINMENT, PHRASES, STRIDE, TEMPLATES, license_scan
 from .line_dedup import line_dedup
+from .near_dup import near_duplicates
 from .packing import pack
+from .suffix_dedup import suffix_dedup
+from .toxicity import score, train
 from .url_filter import RULES, rule_index, url_filter
 
 ALNUM_SQL = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (UPPER, LOWER)
@@ -38,6 +45,52 @@ SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_wor
 FROM e LEFT JOIN g USING (r)"""
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n_shingles + nb.n_shingles - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, {{words}} AS w FROM documents), i AS (SELECT item_id, {{words}} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, w[s : s + 9] AS run FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM i WHERE len(w) > 0)),
+k AS (SELECT DISTINCT len(run) AS k FROM v),
+g AS (SELECT doc_id, s, k, w[s : s + k - 1] AS run FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, k)),
+h AS (SELECT doc_id, s, k, item_id FROM g JOIN v ON g.run = v.run),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""".format(words=ALNUM_SQL)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,6 +111,28 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def _replica(pages: DataFrame) -> DataFrame:
+    """A second copy of the pages with faults at known places: bytes changed, records lost, one record too many."""
+    changed = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring(F.col("html"), F.lit(2), F.length("html")))).otherwise(F.col("html"))
+    kept = pages.where((F.col("page_id") % 101 != 7) | F.col("page_id").isNull()).select("page_id", "url", changed.alias("html"))
+    return kept.unionByName(pages.where(F.col("page_id") % 103 == 5).select((-1 - F.col("page_id")).alias("page_id"), "url", "html"))
+
+
+def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity(pages, _replica(pages))
+
+
+OP9_SQL = rf"""
+WITH b AS (SELECT page_id, encode(coalesce(html, '')) AS body, coalesce(url, '') AS url FROM pages),
+x AS (SELECT -1 - page_id AS page_id, body, url, 'extra' AS state FROM b WHERE page_id % 103 = 5
+      UNION ALL SELECT page_id, body, url, CASE WHEN page_id % 101 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'corrupt' ELSE 'ok' END FROM b),
+r AS (SELECT page_id, state, encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+        || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || octet_length(body) || chr(13) || chr(10) || chr(13) || chr(10)) || body || encode(chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM x),
+m AS (SELECT page_id, (page_id >> {FILE_BITS})::BIGINT AS archive, octet_length(record) AS length, sha256(record) AS digest, state FROM r)
+SELECT page_id, archive, CASE WHEN state = 'extra' THEN 0 ELSE coalesce(sum(length) FILTER (state <> 'extra') OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS offset, length, digest, state FROM m"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -88,12 +163,21 @@ FROM v LEFT JOIN votes USING (alias)"""
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_merkle_audit": op9_merkle_audit,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {
     "op1_license_scan": _op1_sql(),
+    "op2_near_duplicates": OP2_SQL,
+    "op4_decontamination": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_merkle_audit": OP9_SQL,
     "op10_url_filter": _op10_sql(),
 }
