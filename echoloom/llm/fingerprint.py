@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,27 +9,10 @@ from pyspark.sql.window import Window
 from .common import SPACE_RUN, row_key, whole
 
 SAMPLES = 64
-#: Steps of the quantile table from which gamma variates are drawn.
-STEPS = 4096
 #: Rows of a range of ids, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 1000, 4096
 
 
-def gamma_quantiles(steps: int = STEPS) -> np.ndarray:
-    """Gamma(2, 1) at the middles of ``steps`` equal shares of probability: 1 - (1 + x) exp(-x), inverted by bisection."""
-    u = (np.arange(steps) + 0.5) / steps
-    low, high = np.zeros(steps), np.full(steps, 64.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < u
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
-def _doubles(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
-
-
 def weighted_words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and (term, log_weight) for each distinct word between ASCII white space; its weight is its number.
 
@@ -52,18 +34,23 @@ def samples(words: DataFrame, by: list[str], count: int = SAMPLES) -> DataFrame:
     same (term, t) with the probability of their generalised Jaccard similarity. ln a and the code of the drawn
     pair are packed in one long, so a draw is a plain minimum, combined before any shuffle.
     """
-    quantiles = gamma_quantiles()
-    gamma, log_gamma = _doubles(quantiles), _doubles(np.log(quantiles))
     term, lw = F.col("term"), F.col("log_weight")
 
+    def uniform(bits: Column, low: int, width: int) -> Column:
+        """In (0, 1), from ``width`` bits."""
+        part = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << width) - 1))
+        return (part.cast("double") + 0.5) * (1 / float(1 << width))
+
     def draw(i: int) -> Column:
-        bits = F.xxhash64(term, F.lit(i))
-        r = F.get(gamma, bits.bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        c = F.get(log_gamma, F.shiftright(bits, 12).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        b = F.shiftrightunsigned(bits, 24).cast("double") / float(1 << 40)
+        one, two = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
+        # -ln(u v) of two uniforms is Gamma(2, 1).
+        r = -F.log(uniform(one, 0, 32) * uniform(one, 32, 32))
+        c = F.log(-F.log(uniform(two, 0, 21) * uniform(two, 21, 21)))
+        b = uniform(two, 42, 22)
         t = F.floor(lw / r + b)
         log_a = c - r * (t - b + 1)
-        code = F.xxhash64(term, t).bitwiseAND(F.lit((1 << 24) - 1))
+        # The first hash stands for the term; t is small and moved off the bits' low end.
+        code = one.bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 24) - 1))
         return F.min(F.shiftleft(((log_a + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(code))
 
     drawn = words.groupBy(*by).agg(*[draw(i).alias(f"d{i}") for i in range(count)])

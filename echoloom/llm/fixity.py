@@ -45,15 +45,15 @@ def leaves(manifested: DataFrame) -> DataFrame:
     return rows.select("node", "first", "last", F.sha2(F.concat_ws("|", F.lit("leaf"), "node", "n", "s0", "s1", "s2", "s3"), 256).alias("hash"))
 
 
-def tree(leaf: DataFrame, low: int, high: int, bits: int = BITS) -> list[DataFrame]:
+def tree(leaf: DataFrame, highest: int, bits: int = BITS) -> list[DataFrame]:
     """Levels from the leaves to one root: (node, first, last, hash). The parent of a node is node >> bits.
 
     A parent hashes its children's numbers and hashes in order: at most 2 ** bits of them, so no task gathers more.
-    ``low`` and ``high`` bound the ids of all replicas, which therefore have trees of one height.
+    Nodes run from 0 to ``highest``, the same for all replicas, whose trees are therefore of one height.
     """
     levels = [settle(leaf, "tree-0")]
-    while low != high:
-        low, high = low >> bits, high >> bits
+    while highest:
+        highest >>= bits
         child = levels[-1].select(F.shiftright("node", bits).alias("parent"), "node", "first", "last", "hash")
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), ",")
         up = child.groupBy("parent").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(joined, 256).alias("hash"))
@@ -72,7 +72,8 @@ def audit(a: DataFrame, b: DataFrame, bits: int = BITS) -> tuple[DataFrame, list
     span = left.select("node").unionByName(right.select("node")).agg(F.min("node"), F.max("node")).first()
     if span[0] is None:
         return spark.createDataFrame([], "id long, state string"), []
-    one, two = tree(left, span[0], span[1], bits), tree(right, span[0], span[1], bits)
+    base = lambda df: df.withColumn("node", F.col("node") - F.lit(span[0]))
+    one, two = (tree(base(x), span[1] - span[0], bits) for x in (left, right))
     visited: list[int] = []
     wrong = None
     for x, y in zip(reversed(one), reversed(two), strict=True):
@@ -84,7 +85,7 @@ def audit(a: DataFrame, b: DataFrame, bits: int = BITS) -> tuple[DataFrame, list
         visited.append(met.count())
         wrong = settle(met.where(~F.col("ours").eqNullSafe(F.col("theirs"))), "tree-wrong")
     state = F.when(F.col("theirs").isNull(), "missing").when(F.col("ours").isNull(), "extra").otherwise("corrupt")
-    return wrong.select(F.col("node").alias("id"), state.alias("state")), visited
+    return wrong.select((F.col("node") + F.lit(span[0])).alias("id"), state.alias("state")), visited
 
 
 def fixity(pages: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
