@@ -17,8 +17,9 @@ from .common import alnum_words, join_checked, settle
 SLOTS = 1 << 20
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
 SAMPLE = 20_000
-#: Slots that enter the model: those with the largest signed chi-square against the grades.
-KEPT = 1_000
+#: Slots that enter the model: in at least so many sampled texts, and so many deviations more or less often in toxic
+#: ones than by chance; of those, the most deviating.
+SEEN, DEVIATION, KEPT = 4, 5.0, 1_000
 #: A document is toxic from this probability of grade 1 or more on.
 CUT = 0.5
 
@@ -37,34 +38,42 @@ class OrdinalModel:
         return out
 
 
-def features(text: Column) -> Column:
-    """The slots of a text's distinct words (A-Z lower-cased), each once: presence features."""
-    slots = F.transform(F.array_distinct(alnum_words(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
-    return F.array_distinct(slots)
+#: Lengths of the word beginnings that are features beside the words: inflected forms share them.
+STEMS = (4, 5)
 
 
-def grade(labels: DataFrame) -> Column:
-    """Severity by label: 0 not toxic, 1 toxic, 2 toxic and of low quality as well. Null where toxic is null."""
-    return F.when(labels["toxic"] == 0, 0).when(labels["toxic"] == 1, F.when(labels["quality"] == 0, 2).otherwise(1))
+def features(text: Column) -> Column:
+    """The slots of a text's distinct words (A-Z lower-cased) and of their beginnings, each once: presence features."""
+    slot = lambda *key: F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("int")
+    words = F.array_distinct(alnum_words(text))
+    parts = F.transform(words, lambda w: F.array(slot(w), *[slot(F.lit(n), F.substring(w, 1, n)) for n in STEMS]))
+    return F.array_distinct(F.flatten(parts))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(offsets: np.ndarray, flat: np.ndarray, grades: np.ndarray, kept: int = KEPT, rounds: int = 300, decay: float = 1e-4) -> OrdinalModel:
-    """Full-batch Adam on the mean negative log-likelihood with weight decay. ``flat[offsets[i]:offsets[i + 1]]``: row i's slots."""
-    n, top = len(grades), int(grades.max(initial=0))
-    if n == 0 or top == 0:
+def fit(offsets: np.ndarray, flat: np.ndarray, toxic: np.ndarray, kept: int = KEPT, rounds: int = 300, decay: float = 3e-4) -> OrdinalModel:
+    """Full-batch Adam on the mean negative log-likelihood with weight decay. ``flat[offsets[i]:offsets[i + 1]]``: row i's slots.
+
+    Grades: 0 not toxic; toxic texts are 1 if they hold as many cues (kept slots that are more frequent in toxic
+    texts) as the median toxic text or fewer, else 2.
+    """
+    n, toxic = len(toxic), np.asarray(toxic, bool)
+    if not toxic.any():
         return OrdinalModel(np.zeros(0, "int64"), np.zeros(0), np.full(1, 30.0))
     rows = np.repeat(np.arange(n), np.diff(offsets))
-    toxic = grades > 0
     seen, with_toxic = np.bincount(flat, minlength=SLOTS), np.bincount(flat, weights=toxic[rows].astype(float), minlength=SLOTS)
     rate = toxic.mean()
-    score = np.where(seen >= 3, (with_toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9), 0)
-    slots = np.sort(np.argsort(-np.abs(score), kind="stable")[:kept])
+    score = np.where(seen >= SEEN, (with_toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9), 0)
+    slots = np.argsort(-np.abs(score), kind="stable")[:kept]
+    slots = np.sort(slots[np.abs(score[slots]) >= DEVIATION])
     place = np.full(SLOTS, -1)
     place[slots] = np.arange(len(slots))
+    cues = np.bincount(rows, weights=(score[flat] > 0) & (place[flat] >= 0), minlength=n)
+    grades = np.where(toxic, 1 + (cues > np.median(cues[toxic])), 0)
+    top = int(grades.max())
     held = place[flat] >= 0
     rows, cols = rows[held], place[flat][held]
     w, cuts = np.zeros(len(slots)), np.array([np.log((grades <= j).mean() / max((grades > j).mean(), 1e-6)) for j in range(top)])
@@ -96,19 +105,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     Labels with null id or null toxic, and those without a document, are left out. Without any toxic label the
     model finds nothing toxic.
     """
-    chosen = labels.select(F.col(id_col).alias("id"), grade(labels).cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
+    chosen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     chosen = settle(chosen, "label-sample")
-    rows = join_checked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "id", "inner").select("id", features(F.col("text")).alias("slots"), "grade")
+    rows = join_checked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "id", "inner").select("id", features(F.col("text")).alias("slots"), "toxic")
     # Repeated ids could bring more rows than labels were chosen.
-    rows = settle(rows, "label-rows").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots"), "grade").limit(sample)
+    rows = settle(rows, "label-rows").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots"), "toxic").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, grades = [], []
+        lists, toxic = [], []
         for b in batches:
             lists += b.column(1).to_pylist()
-            grades += b.column(2).to_pylist()
+            toxic += b.column(2).to_pylist()
         flat = np.array([x for row in lists for x in row], "int64")
-        model = fit(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype("int64"), flat, np.array(grades, "int64"))
+        model = fit(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype("int64"), flat, np.array(toxic, "int64") > 0)
         names = [*model.slots.tolist(), *range(-1, -1 - len(model.cuts), -1)]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([*model.weights.tolist(), *model.cuts.tolist()], pa.float64())], names=["slot", "weight"])
 
