@@ -342,3 +342,31 @@ def export_slices(s, d):
 
     rows = message(s, d).select(slice_of(F.col("publish_time"), "1995-01-01", 30).alias("slice_start"))
     return rows.groupBy("slice_start").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 40).alias("truncated"))
+
+
+@query()
+def opportunity_identity(s, d):
+    """Stable ids from folded text: Unicode folding has no SQL form, so unit tests hold it."""
+    from ..functions import unicode as U
+
+    rows = _pool(s, d).select(C.opp_type(F.col("rule")).alias("opp_type"), "tag", F.concat_ws(" - ", "tag", "brand").alias("mode"), "channel").distinct()
+    return rows.select("opp_type", "tag", "mode", "channel", U.opp_id(U.identity_key(F.col("opp_type"), F.col("tag"), F.col("mode"), F.col("channel"))).alias("opp_id"))
+
+
+@query()
+def bucket_clusters(s, d):
+    """Groups of the pool's texts, by bucket and batch of fifty."""
+    from ..operators.cluster import batches, clustered
+
+    rows = _pool(s, d).withColumn("bucket", F.concat_ws("|", "rule", "tag", "channel")).withColumn("item", F.col("message_id") * 1000 + F.col("seq"))
+    placed = batches(rows, "bucket", "item", "star").withColumn("bucket", F.concat_ws("|", "bucket", F.col("batch").cast("string")))
+    return clustered(placed, "bucket", "item", "evidence_text")
+
+
+@query("SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01')::TIMESTAMP AS week_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", plain=True)
+def weekly_event_counts(s, d):
+    """The streaming operator over the table as a batch; a test runs it as a stream."""
+    from ..streaming.weekly import weekly_counts
+
+    out = weekly_counts(read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
+    return out.withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
