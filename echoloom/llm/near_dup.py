@@ -17,6 +17,8 @@ from .graph import connected_components
 BANDS, ROWS = 26, 5
 #: Hashes that are compared at a time, and the posterior probability of reaching the threshold under which a pair goes.
 BATCH, MISS = 26, 1e-6
+#: Members of a bucket that are held together when it is compared in blocks.
+BLOCK = 256
 SEED = 20_240_917
 
 _U64 = np.uint64
@@ -118,6 +120,78 @@ def verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def compare_blocks(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], count: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(task, band, key, part, side, sig, words), sorted by task, to verified links between parts: (a, b).
+
+    Members of a task are compared by signature, two sides if it has two, else each with each. Pairs that no batch
+    of hashes rules out are decided on the full sets, the likeliest first; a link joins the two parts, whose
+    members need no further comparison. Pairs that already met in an earlier band are left to that band's bucket.
+    """
+    names = ["a", "b"]
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        keys, band = [r[2] for r in rows], rows[0][1]
+        sigs = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(-1, count)
+        number = {p: i for i, p in enumerate(dict.fromkeys(r[3] for r in rows))}
+        part = np.array([number[r[3]] for r in rows])
+        side = np.array([r[4] for r in rows])
+        parent, sets, found = list(range(len(number))), {}, []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def shingles(i: int) -> set:
+            if i not in sets:
+                sets[i] = shingle_set(rows[i][6], size)
+            return sets[i]
+
+        two_sides, order = bool(side.any() and not side.all()), np.arange(len(rows))
+        left, right, hits = [], [], []
+        for i in range(len(rows)):
+            if two_sides and side[i]:
+                continue
+            js = np.flatnonzero((part != part[i]) & (side if two_sides else order > i))
+            equal, begin = np.zeros(len(js), "int64"), 0
+            for n, least in bounds:
+                equal = equal + (sigs[js, begin:n] == sigs[i, begin:n]).sum(1)
+                keep = equal >= least
+                js, equal, begin = js[keep], equal[keep], n
+            if band and len(js):
+                early = (sigs[js, : band * ROWS] == sigs[i, : band * ROWS]).reshape(len(js), band, ROWS).all(2).any(1)
+                js, equal = js[~early], equal[~early]
+            left.append(np.full(len(js), i))
+            right.append(js)
+            hits.append(equal)
+        if left:
+            one, two, equal = np.concatenate(left), np.concatenate(right), np.concatenate(hits)
+            for k in np.argsort(-equal, kind="stable").tolist():
+                i, j = int(one[k]), int(two[k])
+                x, y = root(part[i]), root(part[j])
+                if x == y:
+                    continue
+                shared = len(shingles(i) & shingles(j))
+                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                    parent[x] = y
+                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        return found
+
+    rows: list[tuple] = []
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[0] != rows[0][0]:
+                out += links(rows)
+                rows = []
+            rows.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+    if rows and (out := links(rows)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, worded: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the (a, b) key pairs that are similar, settled."""
     count = BANDS * ROWS
@@ -139,12 +213,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document's set is its distinct runs of ``size`` words (A-Z lower-cased, split at ASCII white space); with
     fewer words, the whole sequence. Two are linked if 100 * intersection >= ``percent`` * union; component_id is
-    the smallest id in a document's connected component, n_links the links verified for its class.
+    the smallest id in a document's connected component, n_links the links of its class that were verified (enough
+    to connect it, not all there are).
 
     1. Texts with the same word sequence are one class with one representative, so copies cost one row.
-    2. Members of a band's bucket are compared with the smallest member only: links grow with a group's size.
+    2. Members of a band's bucket are compared with the smallest member only: pairs grow with a group's size.
     3. Where that leaves a bucket with several components, members outside its largest one are compared with all
-       members of other components in it: what step 2 could miss, without pairs inside a component.
+       members of other components, block by block inside tasks: what step 2 could miss. Only verified links leave
+       a task, at most one for each two components that it joins.
     Candidates fall away as soon as the posterior of reaching ``percent`` sinks under MISS; survivors are decided
     on the full sets. A pair at the threshold shares no band with the probability stated at BANDS.
 
@@ -162,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "key")).alias("node"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
     classes = settle(classes.select("c1", "c2", "node", F.col("node.key").alias("key"), "copies", "sig"), "near-classes")
     sigs = classes.select("key", "sig")
-    bands = classes.select("node", F.posexplode(F.array(*[F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS) for i in range(BANDS)])).alias("band", "part")).select("node", F.xxhash64("band", "part").alias("bucket"))
+    bands = classes.select("node", F.posexplode(F.array(*[F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS) for i in range(BANDS)])).alias("band", "part")).select("node", "band", F.xxhash64("band", "part").alias("bucket"))
     shared = settle(bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("bucket", "first"), "near-buckets")
     members = settle(join_checked(bands, shared, "bucket", "inner"), "near-members")
 
@@ -175,19 +251,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return settle(connected_components(ends.select("x", "y"), "x", "y"), "near-components")
 
     parts = components(links)
-    placed = join_checked(members.select("bucket", "node"), parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    # Of each bucket that still has several components: the members by component, the largest one apart.
+    placed = join_checked(members, parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("part"))
+    # Buckets that still have several components are compared in blocks, so no task holds a whole bucket.
     sizes = placed.groupBy("bucket", "part").count()
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "part")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("top.part").alias("main"))
-    main = settle(main, "near-open")
-    if not main.isEmpty():
-        open_ = settle(join_checked(placed, main, "bucket", "inner"), "near-left")
-        outer = open_.where(F.col("part") != F.col("main")).select("bucket", F.col("node").alias("x"), F.col("part").alias("px"))
-        other = open_.select("bucket", F.col("node").alias("y"), F.col("part").alias("py"), "main")
-        pairs = outer.join(other, "bucket").where((F.col("px") != F.col("py")) & ((F.col("py") == F.col("main")) | (F.col("x") < F.col("y"))))
-        pairs = pairs.select(F.least("x", "y")["key"].alias("a"), F.greatest("x", "y")["key"].alias("b")).distinct()
-        rest = settle(pairs.join(stars, ["a", "b"], "left_anti"), "near-rest")
-        more = _links(rest, sigs, worded.select("key", "words"), size, percent)
+    top = F.max(F.struct("count", "part"))
+    open_ = sizes.groupBy("bucket").agg(top["part"].alias("main"), top["count"].alias("inner"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = settle(open_.drop("n"), "near-open")
+    if not open_.isEmpty():
+        left = join_checked(placed, open_, "bucket", "inner").select("bucket", "band", F.col("node.key").alias("key"), F.col("part.key").alias("part"), (F.col("part") == F.col("main")).alias("main"), "all", F.ceil((F.col("all") - F.col("inner")) / BLOCK).alias("outs"), F.ceil(F.col("inner") / BLOCK).alias("ins"))
+        own = F.pmod(F.xxhash64("key", "bucket"), F.when(F.col("main"), F.col("ins")).otherwise(F.col("outs")))
+        left = left.withColumn("own", own)
+        each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+        zero, no = F.lit(0).cast("long"), F.lit(False)
+        # Outer blocks meet each other and themselves, and the blocks of the largest component; those do not meet.
+        outer = F.concat(
+            F.transform(each("outs"), lambda j: task(0, F.least("own", j), F.greatest("own", j), F.col("own") > j)),
+            F.transform(each("ins"), lambda j: task(1, F.col("own"), j, no)),
+        )
+        inner = F.transform(each("outs"), lambda i: task(1, i, F.col("own"), F.lit(True)))
+        tasks = F.when(F.col("all") <= 2 * BLOCK, F.array(task(2, zero, zero, no))).when(F.col("main"), inner).otherwise(outer)
+        left = left.select("bucket", "band", "key", "part", F.explode(tasks).alias("t")).select(F.xxhash64("bucket", "t.kind", "t.i", "t.j").alias("task"), "band", "key", "part", "t.side")
+        left = settle(left, "near-blocks")
+        named = settle(left.select("key").distinct(), "near-named")
+        texts = settle(join_checked(worded.select("key", "words"), named, "key", "left_semi").dropDuplicates(["key"]), "near-words")
+        rows = left.join(join_checked(sigs, named, "key", "left_semi").join(texts, "key"), "key").select("task", "band", "key", "part", "side", "sig", "words")
+        bounds = least_matches(percent, count)
+        more = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda x: compare_blocks(x, bounds, count, size, percent), "a long, b long")
+        more = settle(more.distinct(), "near-links")
         if not more.isEmpty():
             links = settle(links.unionByName(more), "near-links")
             parts = components(links)
