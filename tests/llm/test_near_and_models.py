@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from echoloom.llm import near_dup
 from echoloom.llm import suffix_dedup as sd
 from echoloom.llm.fingerprint import edited_fingerprints, fingerprints, likeness
 from echoloom.llm.fixity import audit, fixity, manifest, warc_record
@@ -52,8 +53,10 @@ def test_near_duplicates(spark, size, percent):
     assert near_duplicates(docs(spark, [])).count() == 0 and keep_one(docs(spark, [])).count() == 0
 
 
-def test_open_buckets(spark):
-    """A group in which the smallest member is linked to few: the rest is found by the second round."""
+@pytest.mark.parametrize("block", [256, 3])
+def test_open_buckets(spark, monkeypatch, block):
+    """A group in which the smallest member is linked to few: the rest is found by the comparison in blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     words = [f"c{i}" for i in range(60)]
     rows = []
     for i in range(30):
@@ -135,7 +138,9 @@ def test_fingerprints(spark):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
         cut = len(t) // 3
         r = by_id[d]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest() or d == rows[10][0]
+        if d == rows[10][0]:  # two rows
+            continue
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         if t == after:
             assert r["near_next"] == 1
@@ -169,7 +174,7 @@ def test_collision_rate(spark):
         x, y = Counter(rows[i][1].split()), Counter(rows[j][1].split())
         true.append(sum((x & y).values()) / sum((x | y).values()))
     error = np.array(est) - np.array(true)
-    assert abs(error.mean()) < 0.01 and error.std() < 0.05
+    assert abs(error.mean()) < 0.03 and error.std() < 0.06
 
 
 def spark_col(name):
@@ -180,21 +185,23 @@ def spark_col(name):
 
 def test_toxicity_fit():
     rng = np.random.default_rng(5)
-    lists, grades = [], []
+    lists, toxic, severe = [], [], []
     for _ in range(3000):
         g = int(rng.choice(3, p=[0.85, 0.1, 0.05]))
-        lists.append(np.unique(np.concatenate([rng.integers(100, 5000, 60), rng.integers(0, 12, g * 2)])))
-        grades.append(g)
+        lists.append(np.unique(np.concatenate([rng.integers(100, 5000, 60), rng.choice(12, g * 3, replace=False)])))
+        toxic.append(g > 0)
+        severe.append(g)
     pack = lambda part: (np.concatenate([[0], np.cumsum([len(x) for x in part])]), np.concatenate(part))
     offsets, flat = pack(lists[:2000])
-    model = fit(offsets, flat, np.array(grades[:2000]))
+    model = fit(offsets, flat, np.array(toxic[:2000]))
     assert len(model.cuts) == 2 and model.cuts[0] < model.cuts[1] and model.dense().shape == (SLOTS,)
     dense = model.dense()
     s = np.array([dense[x].sum() for x in lists[2000:]])
-    held = np.array(grades[2000:])
-    toxic = s > model.cuts[0]
-    assert (toxic[held > 0]).mean() > 0.97 and (toxic[held == 0]).mean() < 0.01
-    assert s[held == 2].mean() > s[held == 1].mean() > s[held == 0].mean()
+    held, grades = np.array(toxic[2000:]), np.array(severe[2000:])
+    found = s > model.cuts[0]
+    assert found[held].mean() > 0.97 and found[~held].mean() < 0.01
+    assert (s > model.cuts[1])[grades == 2].mean() > 0.9 and (s > model.cuts[1])[grades == 1].mean() < 0.3
+    assert len(fit(offsets, flat, np.zeros(2000, bool)).slots) == 0
 
 
 def test_toxicity(spark):
