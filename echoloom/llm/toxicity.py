@@ -16,7 +16,7 @@ from .common import alnum_words, join_checked, settle
 #: Feature slots: words are hashed into so many.
 SLOTS = 1 << 20
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Slots that enter the model: in at least so many sampled texts, and so many deviations more or less often in toxic
 #: ones than by chance; of those, the most deviating.
 SEEN, DEVIATION, KEPT = 4, 5.0, 1_000
@@ -63,15 +63,15 @@ def fit(offsets: np.ndarray, flat: np.ndarray, toxic: np.ndarray, kept: int = KE
     n, toxic = len(toxic), np.asarray(toxic, bool)
     if not toxic.any():
         return OrdinalModel(np.zeros(0, "int64"), np.zeros(0), np.full(1, 30.0))
-    rows = np.repeat(np.arange(n), np.diff(offsets))
+    rows = np.repeat(np.arange(n, dtype="int32"), np.diff(offsets))
     seen, with_toxic = np.bincount(flat, minlength=SLOTS), np.bincount(flat, weights=toxic[rows].astype(float), minlength=SLOTS)
     rate = toxic.mean()
     score = np.where(seen >= SEEN, (with_toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9), 0)
     slots = np.argsort(-np.abs(score), kind="stable")[:kept]
     slots = np.sort(slots[np.abs(score[slots]) >= DEVIATION])
-    place = np.full(SLOTS, -1)
+    place = np.full(SLOTS, -1, "int32")
     place[slots] = np.arange(len(slots))
-    cues = np.bincount(rows, weights=(score[flat] > 0) & (place[flat] >= 0), minlength=n)
+    cues = np.bincount(rows[((score > 0) & (place >= 0))[flat]], minlength=n)
     grades = np.where(toxic, 1 + (cues > np.median(cues[toxic])), 0)
     top = int(grades.max())
     held = place[flat] >= 0
@@ -112,12 +112,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = settle(rows, "label-rows").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots"), "toxic").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, toxic = [], []
+        sizes, flat, toxic = [np.zeros(1, "int64")], [np.zeros(0, "int32")], []
         for b in batches:
-            lists += b.column(1).to_pylist()
+            lists = b.column(1)
+            sizes.append(np.diff(lists.offsets.to_numpy()))
+            flat.append(lists.flatten().to_numpy())
             toxic += b.column(2).to_pylist()
-        flat = np.array([x for row in lists for x in row], "int64")
-        model = fit(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype("int64"), flat, np.array(toxic, "int64") > 0)
+        model = fit(np.cumsum(np.concatenate(sizes)), np.concatenate(flat), np.array(toxic, "int64") > 0)
         names = [*model.slots.tolist(), *range(-1, -1 - len(model.cuts), -1)]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([*model.weights.tolist(), *model.cuts.tolist()], pa.float64())], names=["slot", "weight"])
 
