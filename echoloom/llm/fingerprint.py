@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import SPACE_RUN, row_key, whole
 
-#: Draws of a fingerprint: the standard error of a likeness is at most 0.09.
-SAMPLES = 32
+#: Draws of a fingerprint: the standard error of a likeness is at most 0.063.
+SAMPLES = 64
 #: Rows of a range of ids, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 1000, 4096
 
