@@ -57,8 +57,10 @@ def rare_terms(index: DataFrame, windows: DataFrame, rarest: int = RAREST) -> Da
 def phrase_candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
     """(key, wid, k, start): places where the offset-adjusted lists of all rare terms of a window meet; settled."""
     lists = join_checked(index.where(F.col("term") != END), rare, "term", "inner")
-    starts = lists.select("key", "wid", "k", "of", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
-    met = starts.groupBy("key", "wid", "k", "of", "start").count().where(F.col("count") == F.col("of"))
+    starts = lists.select("key", "wid", "k", "of", "rank", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    # Ranks are met as bits: repeated rows bring the same postings more than once.
+    ranks = F.bit_count(F.bit_or(F.expr("shiftleft(1L, rank - 1)")))
+    met = starts.groupBy("key", "wid", "k", "of", "start").agg(ranks.alias("met")).where(F.col("met") == F.col("of"))
     return settle(met.select("key", "wid", "k", "start"), "phrase-candidates")
 
 
