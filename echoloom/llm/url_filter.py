@@ -51,22 +51,23 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b) alias keys tied by a canonical link or a meta refresh with an absolute target."""
+    """(a, b, to): alias keys tied by a canonical link or a meta refresh with an absolute target, and that target."""
     html = F.col(html_col)
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tags = F.filter(tags, lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b"))
     target = lambda t: F.regexp_extract(t, r"(?is)(?:href\s*=\s*[\"']?|url\s*=\s*[\"']?)\s*([a-z][a-z0-9+.-]*://[^\"'\s>;]+)", 1)
     # The tags are looked for only in pages that name one of the two.
     found = F.when(html.rlike("(?i)canonical|http-equiv"), F.transform(tags, target))
-    return pages.select(alias_key(F.col(url_col)).alias("a"), F.explode(found).alias("to")).select("a", alias_key(F.col("to")).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    return pages.select(alias_key(F.col(url_col)).alias("a"), F.explode(found).alias("to")).select("a", alias_key(F.col("to")).alias("b"), "to").where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
 def url_filter(pages: DataFrame, rules=RULES, links: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """(id, host, path, rule, verdict), a row for each page.
 
-    A page with a rule takes its verdict. Other pages take that of their alias component: allow if any page of it
-    is allowed by a rule, else block if any is blocked, else allow. Components are those of the alias keys under
-    the links found in the pages and the given ``links`` (columns a and b: urls, e.g. of a redirect log).
+    A page with a rule takes its verdict. Other pages take that of their alias component: allow if any address of it
+    is allowed by a rule, else block if any is blocked, else allow. Its addresses are its pages' and the ends of its
+    links, be they pages or not. Components are those of the alias keys under the links found in the pages and the
+    given ``links`` (columns a and b: urls, e.g. of a redirect log).
 
     A null url, or one without ``://``, has empty host and path, no rule, no aliases and is allowed. Repeated rows
     each get a row. Null html has no links. Empty tables give empty results; extra columns are not read.
@@ -78,11 +79,17 @@ def url_filter(pages: DataFrame, rules=RULES, links: DataFrame | None = None, id
 
     edges = page_links(pages, url_col, html_col) if html_col else None
     if links is not None:
-        given = links.select(alias_key(F.col("a")).alias("a"), alias_key(F.col("b")).alias("b"))
+        # Either end of a given link may be no page: the turned link names the other end.
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        given = both.select(alias_key(F.col("a")).alias("a"), alias_key(F.col("b")).alias("b"), F.col("b").alias("to")).where("a IS NOT NULL AND b IS NOT NULL")
         edges = given if edges is None else edges.unionByName(given)
+    voters = judged.select("alias", "own")
     if edges is not None:
+        edges = settle(edges, "url-links")
         parts = settle(connected_components(edges).select(F.col("node").alias("alias"), "component"), "url-components")
-    votes = judged.where(F.col("own").isNotNull() & F.col("alias").isNotNull()).groupBy("alias").agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
+        ends = edges.select(F.col("b").alias("alias"), host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path"))
+        voters = voters.unionByName(ends.select("alias", matching_rule(F.col("host"), F.col("path"), rules)[1].alias("own")))
+    votes = voters.where(F.col("own").isNotNull() & F.col("alias").isNotNull()).groupBy("alias").agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
     if edges is not None:
         name = F.coalesce(F.col("component"), F.col("alias"))
         votes = join_checked(votes, parts, "alias", "left").groupBy(name.alias("part")).agg(F.bool_or("allowed").alias("allowed"), F.bool_or("blocked").alias("blocked"))
