@@ -324,7 +324,7 @@ def evidence_explode(s, d):
  CASE WHEN length(trim(left(text, 12), ' ')) < 8 THEN 'mode' END], lambda x: x IS NOT NULL), ',') AS errors FROM documents""", plain=True)
 def text_validation(s, d):
     t = F.col("text")
-    checks = V.errors(length=F.length(t).between(60, 1200), hedge=~t.rlike(r"(?i)" + "|".join(V.HEDGES)), country=V.no_country(t, ["nation", "france"]), mode=V.specific(F.substring(t, 1, 12)))
+    checks = V.errors(length=F.length(t).between(60, 1200), hedge=~t.rlike(r"(?i)" + "|".join(V.HEDGES)), country=V.no_country(t, ["nation", "france"]), mode=V.specific(t))
     return read(s, d, "documents").select("doc_id", F.array_join(checks, ",").alias("errors"))
 
 
