@@ -17,14 +17,21 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-#: A relation of at most so many rows may be broadcast; the callers count it first.
-BROADCAST_ROWS = 500_000
+#: A relation of at most so many rows, and of so many bytes by its statistics (Parquet files in the shared folder),
+#: may be broadcast; join_checked looks at both first.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A folder of our own serves local sessions alone (tests, bench); on a cluster a missing setting is an error, as
+    what executors wrote to their own disks would be lost without notice.
+    """
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = os.path.join(tempfile.gettempdir(), "echoloom-shared")
     return place.rstrip("/")
 
@@ -41,13 +48,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a settled relation may be broadcast: its size as Parquet by the plan's statistics, and its rows, counted."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= size and df.limit(rows + 1).count() <= rows
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a settled relation: broadcast after counting that it is small, else by shuffle (skewed keys are split by AQE)."""
-    if small.limit(rows + 1).count() <= rows:
+    """Join to a settled relation: broadcast after a check of its rows and bytes, else by shuffle (skewed keys are split by AQE)."""
+    if is_small(small, rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
 
+def unclashed(df: DataFrame, *names: str) -> None:
+    """Raise where a table already has a column that an operator is about to add."""
+    taken = [n for n in names if n.lower() in {c.lower() for c in df.columns}]
+    if taken:
+        raise ValueError(f"the table already has the columns {taken}, which this operator adds: rename them first")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII takes the fast path, as lower() would change other letters."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -68,8 +87,9 @@ def solid_words(text: Column) -> Column:
 
 
 def row_key(*cols: Column) -> Column:
-    """A 64-bit key of a row's id and text. Rows that agree in both are the same row to every operator."""
-    return F.xxhash64(*cols)
+    """A 128-bit key of a row's id and text. Rows that agree in both are the same row to every operator."""
+    parts = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in cols]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
 def at(array: Column, index: Column) -> Column:
