@@ -4,66 +4,95 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from .common import SPACE_RUN, row_key, whole
+from .common import SPACE_RUN, join_checked, row_key, settle, whole
 
 #: Draws of a fingerprint: the standard error of a likeness is at most 0.063.
 SAMPLES = 64
-#: Rows of a range of ids, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 1000, 4096
+#: Draws that are evaluated in one row. More make the generated loop too long to be compiled.
+TOGETHER = 4
+#: Rows that meet in one window, and the ranges of ids whose quantiles the driver asks for.
+BIN_ROWS, RANGES = 256, 256
 
 
-def weighted_words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` and (term, log_weight) for each distinct word between ASCII white space; its weight is its number.
+def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
+    """``keep``, term and its weight in each of the texts, for each distinct word of any of them.
 
-    A text without words yields one row with null term. Words are counted by sorting their hashes within the row.
+    ``texts`` maps a text column to the name of its weights. Words stand between ASCII white space; a weight is a
+    word's number in the text, null where the text lacks the word. A row whose texts have no words yields no row.
     """
-    sorted_ = df.select(*keep, F.sort_array(F.transform(F.array_remove(F.split(F.col(text), SPACE_RUN), ""), lambda w: F.xxhash64(w))).alias("h"))
-    n = F.size("h")
-    last = lambda i: (i == n) | (F.get("h", i) != F.get("h", i - 1))
-    ended = sorted_.select(*keep, "h", F.when(n > 0, F.filter(F.sequence(F.lit(1), n), last)).alias("ends"))
-    runs = F.transform("ends", lambda e, j: F.struct(F.get("h", e - 1).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(0))).alias("count")))
-    return ended.select(*keep, F.explode_outer(runs).alias("x")).select(*keep, F.col("x.term").alias("term"), F.log(F.col("x.count").cast("double")).alias("log_weight"))
+    bodies = df.select(*keep, F.posexplode(F.array(*texts)).alias("variant", "body"))
+    words = bodies.select(*keep, "variant", F.explode(F.split("body", SPACE_RUN)).alias("word")).where("word <> ''")
+    counts = [F.count(F.when(F.col("variant") == k, 1)).alias(w) for k, w in enumerate(texts.values())]
+    counted = words.groupBy(*keep, F.xxhash64("word").alias("term")).agg(*counts)
+    return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()])
 
 
-def samples(words: DataFrame, by: list[str], count: int = SAMPLES) -> DataFrame:
-    """``by`` and fingerprint: a sample of each of ``count`` draws, as 4 hex digits.
+def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
+    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): ``count`` samples of 4 hex digits.
 
-    For draw i, a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of its hash and i;
-    t = floor(ln w / r + b), and the term with the smallest a = c exp(-r (t - b) - r) is drawn. Two texts draw the
-    same (term, t) with the probability of their generalised Jaccard similarity. ln a and the code of the drawn
-    pair are packed in one long, so a draw is a plain minimum, combined before any shuffle.
+    Draw i samples consistently: a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of
+    its hash and i; t = floor(ln w / r + b), and the term with the smallest a = c exp(-r (t - b) - r) is drawn. Two
+    texts draw the same (term, t) with the probability of their generalised Jaccard similarity.
+
+    With r = -ln u - ln v and b = ln v / (ln u + ln v) of two uniforms, r is Gamma(2, 1), b uniform and independent
+    of r, and a = c u (u v)^t, where t counts the j >= 0 with w u (u v)^j >= 1: of most words t is 0 without any
+    logarithm. a and the code of the drawn pair are packed in one long, so a draw is a plain minimum, combined
+    before any shuffle.
     """
-    term, lw = F.col("term"), F.col("log_weight")
+    each = min(TOGETHER, count)
+    if count % each:
+        raise ValueError(f"count must be a multiple of {each}")
+    draws, weights = range(each), list(prints)
 
     def uniform(bits: Column, low: int, width: int) -> Column:
         """In (0, 1), from ``width`` bits."""
         part = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << width) - 1))
         return (part.cast("double") + 0.5) * (1 / float(1 << width))
 
-    def draw(i: int) -> Column:
-        one, two = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
-        # -ln(u v) of two uniforms is Gamma(2, 1).
-        r = -F.log(uniform(one, 0, 32) * uniform(one, 32, 32))
-        c = F.log(-F.log(uniform(two, 0, 21) * uniform(two, 21, 21)))
-        b = uniform(two, 42, 22)
-        t = F.floor(lw / r + b)
-        log_a = c - r * (t - b + 1)
+    # Each step is a projection of its own: what a later step names twice is computed once.
+    rows = words.select(*by, *weights, "term", F.explode(F.sequence(F.lit(0), F.lit(count // each - 1))).alias("block"))
+    rows = rows.select(*by, "block", *weights, F.xxhash64("term", "block").alias("seed"))
+    rows = rows.select(*by, "block", *weights, *[F.xxhash64("seed", F.lit(2 * i + k)).alias(f"h{k}_{i}") for i in draws for k in (0, 1)])
+    u, v = (lambda i: uniform(F.col(f"h0_{i}"), 0, 32)), (lambda i: uniform(F.col(f"h0_{i}"), 32, 32))
+    # -ln(u v) of two uniforms is Gamma(2, 1).
+    gamma = lambda i: -F.log(uniform(F.col(f"h1_{i}"), 0, 32) * uniform(F.col(f"h1_{i}"), 32, 32))
+    drawn = [x for i in draws for x in (u(i).alias(f"u{i}"), (u(i) * v(i)).alias(f"q{i}"), (gamma(i) * u(i)).alias(f"a{i}"))]
+    rows = rows.select(*by, "block", *weights, *[F.col(f"h0_{i}") for i in draws], *drawn)
+
+    def steps(k: int, i: int) -> Column:
+        first = F.col(weights[k]) * F.col(f"u{i}")
+        return F.when(first < 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(first) / -F.log(F.col(f"q{i}"))) + 1)
+
+    rows = rows.select(*by, "block", *[F.col(f"{x}{i}") for i in draws for x in ("h0_", "q", "a")], *[steps(k, i).alias(f"t{k}_{i}") for k in range(len(weights)) for i in draws])
+
+    def draw(k: int, i: int) -> Column:
+        t, q = F.col(f"t{k}_{i}"), F.col(f"q{i}")
+        a = F.col(f"a{i}") * F.when(t == 0, F.lit(1.0)).when(t == 1, q).otherwise(F.pow(q, t))
         # The first hash stands for the term; t is small and moved off the bits' low end.
-        code = one.bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 24) - 1))
-        return F.min(F.shiftleft(((log_a + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(code))
+        code = F.col(f"h0_{i}").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
+        return F.min(F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)).alias(f"d{k}_{i}")
+
+    # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros, as in blank().
+    least = rows.groupBy(*by, "block").agg(*[draw(k, i) for k in range(len(weights)) for i in draws])
+    digits = [F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.col(f"d{k}_{i}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)))), 4, "0") for i in draws]).alias(f"p{k}") for k in range(len(weights))]
+    parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", *digits))).alias("parts"))
+    return parts.select(*by, *[F.array_join(F.col(f"parts.p{k}"), "").alias(name) for k, name in enumerate(prints.values())])
+
 
-    drawn = words.groupBy(*by).agg(*[draw(i).alias(f"d{i}") for i in range(count)])
-    digits = [F.lpad(F.lower(F.hex(F.coalesce(F.col(f"d{i}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)))), 4, "0") for i in range(count)]
-    return drawn.select(*by, F.concat(*digits).alias("fingerprint"))
+def blank(count: int) -> Column:
+    """The fingerprint of a text without words."""
+    return F.lit("0" * 4 * count)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
     """(id, key, fingerprint) of each distinct (id, text); null text is empty. Words leave their task as draws only."""
     source = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    keyed = source.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "text")
-    return samples(weighted_words(keyed, "text", ["id", "key"]), ["id", "key"], count).select(F.col("id").alias(id_col), "key", "fingerprint")
+    keyed = source.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    drawn = samples(weighted_words(keyed, {"text": "weight"}, ["key"]), ["key"], {"weight": "fingerprint"}, count)
+    return keyed.select("id", "key").join(drawn, "key", "left").select(F.col("id").alias(id_col), "key", F.coalesce("fingerprint", blank(count)).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, count: int = SAMPLES) -> Column:
@@ -83,40 +112,69 @@ def _search(splits: list[int], low: int, high: int) -> str:
     return f"IF(id >= {splits[mid]}, {_search(splits, mid + 1, high)}, {_search(splits, low, mid)})"
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
+def binned(source: DataFrame, bin_rows: int = BIN_ROWS, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """``source`` (id, key, ...) with (range, bin), and (range, bin, head_id, head_key, to_range, to_bin) of all bins.
+
+    Bins follow each other by falling (id, key) and hold about ``bin_rows`` rows however large the table is:
+    quantiles of the id deal rows into ranges (an id that is a quantile has a range of its own), and a range is cut
+    into as many bins as it needs, evenly by (id, key). to_range and to_bin name the bin before; the first bin's is
+    the last one. What reaches the driver are the quantiles and a row for each range.
+    """
+    spark = source.sparkSession
+    ranges = max(1, min(ranges, source.count() // bin_rows))
+    points = source.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    splits = sorted({int(x) + d for x in points for d in (0, 1) if int(x) + d < 1 << 63})
+    ranged = source.withColumn("range", F.expr(_search(splits, 0, len(splits))))
+    widths = ranged.groupBy("range").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows")).collect()
+    widths = spark.createDataFrame([tuple(w) for w in widths], "range int, low long, high long, rows long")
+    # Both casts keep the order, so bins are intervals of (id, key).
+    place = F.col("high").cast("double") - F.col("id").cast("double") + (1 - (F.col("key").cast("double") / float(1 << 64) + 0.5))
+    bins = F.ceil(F.col("rows") / float(bin_rows))
+    at = F.least(F.floor(place / (F.col("high").cast("double") - F.col("low").cast("double") + 1) * bins), bins - 1)
+    placed = ranged.join(F.broadcast(widths), "range").withColumn("bin", F.greatest(at, F.lit(0))).drop("low", "high", "rows")
+    heads = settle(placed.groupBy("range", "bin").agg(F.max(F.struct("id", "key")).alias("head")), "fingerprint-heads")
+    ends = heads.groupBy("range").agg(F.min("bin").alias("first"), F.max("bin").alias("last")).orderBy(F.desc("range")).collect()
+    before = [(e["range"], e["first"], ends[i - 1]["range"], ends[i - 1]["last"]) for i, e in enumerate(ends)]
+    before = spark.createDataFrame(before, "range int, bin long, to_range int, to_bin long")
+    own = Window.partitionBy("range").orderBy("bin")
+    linked = heads.withColumn("prior", F.lag("bin").over(own)).join(F.broadcast(before), ["range", "bin"], "left")
+    linked = linked.select("range", "bin", F.col("head.id").alias("head_id"), F.col("head.key").alias("head_key"), F.coalesce("to_range", "range").alias("to_range"), F.coalesce("to_bin", "prior").alias("to_bin"))
+    return placed, settle(linked, "fingerprint-bins")
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES, bin_rows: int = BIN_ROWS) -> DataFrame:
     """Fingerprints of each text and of an edit of it: (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edit replaces the last floor(n_chars / 3) characters by the first as many (or all) of the next text by
     falling id, after the last one that of the first; rows with one id follow each other by the hash of their text.
     near_edited and near_next compare the fingerprint with the edit's and with the next text's. A single text is
-    its own next. Null text is empty, null ids come last, repeated rows each get a row, an empty table an empty result.
+    its own next. Null text is empty, null ids come last, repeated rows each get a row, an empty table an empty
+    result. Ids must be whole numbers, as the order of ids is that of numbers.
 
-    Rows are dealt into ranges of ids, found from counts; the first row of a range also goes to the range before
-    it, so that each row meets its next one in a window over one range. Texts are shuffled once; all that follows
-    keeps that partitioning.
+    Rows are dealt into bins of consecutive ids; the first row of a bin also goes to the bin before it, so that
+    each row meets its next one in a window over one bin. Texts are shuffled once; words are counted and draws
+    combined within that partitioning.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: the next text is the one with the next smaller id")
     lowest = -(1 << 63)
     source = docs.select(F.col(id_col).alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), whole(F.col(text_col)).alias("text"))
-    rows = docs.count()
-    ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
-    splits = sorted({int(x) for x in source.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
-    keyed = source.withColumns({"range": F.expr(_search(splits, 0, len(splits))), "key": row_key(F.col("id"), F.col("text"))})
-    # One row for each range reaches the driver: its first one, by falling id.
-    heads = keyed.groupBy("range").agg(F.max(F.struct("id", "key")).alias("head")).orderBy("range").collect()
-    targets = [(h["range"], h["head"]["id"], h["head"]["key"], heads[(i + 1) % len(heads)]["range"]) for i, h in enumerate(heads)]
-    to = docs.sparkSession.createDataFrame(targets, "range int, head_id long, head_key long, target int")
+    placed, bins = binned(source.withColumn("key", F.xxhash64("id", "text")), bin_rows)
     head = (F.col("id") == F.col("head_id")) & (F.col("key") == F.col("head_key"))
-    placed = keyed.join(F.broadcast(to), "range").select("given", "id", "key", "text", F.explode(F.when(head, F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(F.col("target").alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("range"), F.lit(0).alias("guest"))))).alias("at")).select("at.range", "at.guest", "given", "id", "key", "text")
+    here = F.struct("range", "bin", F.lit(0).alias("guest"))
+    there = F.struct(F.col("to_range").alias("range"), F.col("to_bin").alias("bin"), F.lit(1).alias("guest"))
+    placed = join_checked(placed, bins, ["range", "bin"], "inner").select("given", "id", "key", "text", F.explode(F.when(head, F.array(here, there)).otherwise(F.array(here))).alias("at"))
+    placed = placed.select("at.range", "at.bin", "at.guest", "given", "id", "key", "text")
 
-    following = Window.partitionBy("range").orderBy("guest", F.desc("id"), F.desc("key"))
+    following = Window.partitionBy("range", "bin").orderBy("guest", F.desc("id"), F.desc("key"))
     placed = placed.withColumns({"row": F.row_number().over(following), "next": F.lead("text").over(following), "n_chars": F.length("text")})
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("next", F.lit(1), cut))
-    both = placed.select("range", "row", "guest", "given", F.col("n_chars").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"))
-    variants = F.when(F.col("guest") == 0, F.array("text", "edited")).otherwise(F.array("text"))
-    both = both.select("range", "row", "guest", "given", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(variants).alias("variant", "body"))
-    by = ["range", "row", "variant", "guest", "given", "n_chars", "edited_sha256"]
-    drawn = samples(weighted_words(both, "body", by), by, count)
-    order = Window.partitionBy("range").orderBy("row", "variant")
-    near = drawn.withColumns({"edited_fingerprint": F.lead("fingerprint", 1).over(order), "next_fingerprint": F.lead("fingerprint", 2).over(order)}).where("guest = 0 AND variant = 0")
+    both = placed.select("range", "bin", "row", "guest", "given", F.col("n_chars").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"))
+    by = ["range", "bin", "row"]
+    drawn = samples(weighted_words(both, {"text": "weight", "edited": "edited_weight"}, by), by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count)
+    # Draws are combined under short keys; what else belongs to a row comes from a second look at the same shuffled texts.
+    about = both.select(*by, "guest", "given", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    drawn = about.join(drawn, by, "left").withColumns({c: F.coalesce(c, blank(count)) for c in ("fingerprint", "edited_fingerprint")})
+    near = drawn.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("range", "bin").orderBy("row"))).where("guest = 0")
     return near.select(F.col("given").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), count).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), count).alias("near_next"))
