@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import alnum_words, join_checked, settle
+from .common import alnum_words, join_checked, settle, unclashed
 
 #: Feature slots: words are hashed into so many.
 SLOTS = 1 << 20
@@ -54,15 +54,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(offsets: np.ndarray, flat: np.ndarray, toxic: np.ndarray, kept: int = KEPT, rounds: int = 300, decay: float = 3e-4) -> OrdinalModel:
+def fit(offsets: np.ndarray, flat: np.ndarray, grades: np.ndarray, kept: int = KEPT, rounds: int = 300, decay: float = 3e-4) -> OrdinalModel:
     """Full-batch Adam on the mean negative log-likelihood with weight decay. ``flat[offsets[i]:offsets[i + 1]]``: row i's slots.
 
-    Grades: 0 not toxic; toxic texts are 1 if they hold as many cues (kept slots that are more frequent in toxic
-    texts) as the median toxic text or fewer, else 2.
+    ``grades``: 0 not toxic, 1 and more toxic, rising with severity. Grades that no row has are left out, so the
+    model has a cut below each grade that occurs (with 0 and 1 alone it is a logistic regression).
     """
-    n, toxic = len(toxic), np.asarray(toxic, bool)
+    grades = np.asarray(grades, "int64")
+    n, toxic = len(grades), grades > 0
     if not toxic.any():
         return OrdinalModel(np.zeros(0, "int64"), np.zeros(0), np.full(1, 30.0))
+    grades = np.searchsorted(np.unique(np.concatenate([[0], grades])), grades)
     rows = np.repeat(np.arange(n, dtype="int32"), np.diff(offsets))
     seen, with_toxic = np.bincount(flat, minlength=SLOTS), np.bincount(flat, weights=toxic[rows].astype(float), minlength=SLOTS)
     rate = toxic.mean()
@@ -71,8 +73,6 @@ def fit(offsets: np.ndarray, flat: np.ndarray, toxic: np.ndarray, kept: int = KE
     slots = np.sort(slots[np.abs(score[slots]) >= DEVIATION])
     place = np.full(SLOTS, -1, "int32")
     place[slots] = np.arange(len(slots))
-    cues = np.bincount(rows[((score > 0) & (place >= 0))[flat]], minlength=n)
-    grades = np.where(toxic, 1 + (cues > np.median(cues[toxic])), 0)
     top = int(grades.max())
     held = place[flat] >= 0
     rows, cols = rows[held], place[flat][held]
@@ -99,26 +99,33 @@ def fit(offsets: np.ndarray, flat: np.ndarray, toxic: np.ndarray, kept: int = KE
     return OrdinalModel(slots, w, np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+def severity_grade() -> Column:
+    low = F.coalesce(F.col("quality").cast("int") == 0, F.lit(False))
+    return F.when(F.col("toxic").cast("int") > 0, F.when(low, 2).otherwise(1)).when(F.col("toxic").isNotNull(), 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grade: Column | None = None) -> OrdinalModel:
     """Fit on at most ``sample`` labelled rows, in one executor task; the driver gets the few kept weights.
 
-    Labels with null id or null toxic, and those without a document, are left out. Without any toxic label the
-    model finds nothing toxic.
+    The severity grade of a label is ``grade``: as labels say no more of severity than toxic and quality, it is 0
+    where toxic is 0, 1 where it is 1, and 2 where the toxic text is of low quality (0) too. Labels with null id or
+    null grade, and those without a document, are left out. Without any toxic label the model finds nothing toxic.
     """
-    chosen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
+    grade = severity_grade() if grade is None else grade
+    chosen = labels.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
     chosen = settle(chosen, "label-sample")
-    rows = join_checked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "id", "inner").select("id", features(F.col("text")).alias("slots"), "toxic")
+    rows = join_checked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "id", "inner").select("id", features(F.col("text")).alias("slots"), "grade")
     # Repeated ids could bring more rows than labels were chosen.
-    rows = settle(rows, "label-rows").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots"), "toxic").limit(sample)
+    rows = settle(rows, "label-rows").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots"), "grade").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, flat, toxic = [np.zeros(1, "int64")], [np.zeros(0, "int32")], []
+        sizes, flat, grades = [np.zeros(1, "int64")], [np.zeros(0, "int32")], []
         for b in batches:
             lists = b.column(1)
             sizes.append(np.diff(lists.offsets.to_numpy()))
             flat.append(lists.flatten().to_numpy())
-            toxic += b.column(2).to_pylist()
-        model = fit(np.cumsum(np.concatenate(sizes)), np.concatenate(flat), np.array(toxic, "int64") > 0)
+            grades += b.column(2).to_pylist()
+        model = fit(np.cumsum(np.concatenate(sizes)), np.concatenate(flat), np.array(grades, "int64"))
         names = [*model.slots.tolist(), *range(-1, -1 - len(model.cuts), -1)]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([*model.weights.tolist(), *model.cuts.tolist()], pa.float64())], names=["slot", "weight"])
 
@@ -131,8 +138,10 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cut: flo
     """``docs`` with severity int (the highest grade reached with probability ``cut``), expected_severity and toxic boolean.
 
     expected_severity is the sum over grades of the probability to reach them. Null and empty texts have no
-    features and get the model's base rate. Each row is scored by itself, in its own task.
+    features and get the model's base rate. Each row is scored by itself, in its own task. A table that already has
+    one of the three columns is refused.
     """
+    unclashed(docs, "severity", "expected_severity", "toxic")
     weights, cuts = docs.sparkSession.sparkContext.broadcast(model.dense()), model.cuts
 
     @arrow_udf("array<double>")
