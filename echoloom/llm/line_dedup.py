@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at, join_checked, row_key, settle, whole
+from .common import at, join_checked, row_key, settle, unclashed, whole
 
 WINDOW = 3
 
@@ -25,12 +25,13 @@ def _windows(lines: Column, size: int) -> Column:
     return F.when(n >= size, hashes)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Line positions that a later occurrence of a repeated window covers: (key, covered array<int>), settled.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(key, covered array<int>): line positions that a later occurrence of a repeated window covers; (key) of repeated rows. Both settled.
 
     Windows overlap and are compared over all documents, the same document included. The first occurrence is
-    the one with the smallest (id, key, line); all others are later. A text of fewer than ``window`` lines has
-    no windows. Null text is the empty text. Rows with the same id and text are one row here, with equal results.
+    the one with the smallest (id, key, line); all others are later. Rows with the same id and text share a key
+    and count as occurrences of their own; ``covered`` is for the first of them, of the others all windows are
+    later. A text of fewer than ``window`` lines has no windows. Null text is the empty text.
     """
     source = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     # The lines are a column of their own: an expression inside a lambda would be split anew for each line.
@@ -41,19 +42,36 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = settle(repeated, "repeated-windows")
     later = join_checked(occurrences, repeated, ["h1", "h2"], "inner").where(F.col("place") > F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("place.pos"), lambda p: F.sequence(p, p + (window - 1)))))
-    return settle(later.groupBy("key").agg(covered.alias("covered")), "covered-lines")
+    covered = settle(later.groupBy("key").agg(covered.alias("covered")), "covered-lines")
+    twice = settle(source.groupBy("key").count().where("count > 1").select("key"), "repeated-rows")
+    return covered, twice
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the text column replaced by what is left, and n_lines, n_removed, n_spans.
 
-    Every other column is kept as it is. n_lines counts the lines of the input (an empty or null text is one
-    empty line), n_removed those taken out, n_spans the runs of them. A row without removed lines keeps its text,
-    null included; a row that loses all lines gets the empty text. An empty table gives an empty result.
+    Every other column is kept as it is; a table that already has one of the three is refused. n_lines counts the
+    lines of the input (an empty or null text is one empty line), n_removed those taken out, n_spans the runs of
+    them. A row without removed lines keeps its text, null included; a row that loses all lines gets the empty
+    text. Of rows that agree in id and text, all but one are later occurrences as a whole: every line of a text of
+    ``window`` lines or more goes. An empty table gives an empty result.
     """
-    covered = repeated_lines(docs, id_col, text_col, window).select(F.col("key").alias("_el_key"), F.col("covered").alias("_el_covered"))
+    unclashed(docs, "n_lines", "n_removed", "n_spans")
+    covered, twice = repeated_lines(docs, id_col, text_col, window)
+    covered = covered.select(F.col("key").alias("_el_key"), F.col("covered").alias("_el_covered"))
     keyed = docs.withColumn("_el_key", row_key(F.col(id_col), whole(F.col(text_col))))
-    joined = join_checked(keyed, covered, "_el_key", "left").withColumns({"_el_lines": _lines(F.col(text_col)), "_el_gone": F.coalesce(F.col("_el_covered"), F.array().cast("array<int>"))})
+    if twice.isEmpty():
+        keyed = keyed.withColumn("_el_turn", F.lit(1))
+    else:
+        # Which of them comes first is open, as they agree in all that the order of occurrences is made of.
+        twice = twice.select(F.col("key").alias("_el_key"))
+        some = settle(join_checked(keyed, twice, "_el_key", "left_semi").withColumn("_el_row", F.monotonically_increasing_id()), "repeated-texts")
+        first = settle(some.groupBy("_el_key").agg(F.min("_el_row").alias("_el_first")), "first-rows")
+        some = join_checked(some, first, "_el_key", "inner").withColumn("_el_turn", F.when(F.col("_el_row") == F.col("_el_first"), 1).otherwise(2)).drop("_el_row", "_el_first")
+        keyed = join_checked(keyed, twice, "_el_key", "left_anti").withColumn("_el_turn", F.lit(1)).unionByName(some)
+    joined = join_checked(keyed, covered, "_el_key", "left").withColumn("_el_lines", _lines(F.col(text_col)))
+    every = F.when(F.size("_el_lines") >= window, F.sequence(F.lit(0), F.size("_el_lines") - 1)).otherwise(F.array().cast("array<int>"))
+    joined = joined.withColumn("_el_gone", F.when(F.col("_el_turn") > 1, every).otherwise(F.coalesce(F.col("_el_covered"), F.array().cast("array<int>"))))
     lines, gone = F.col("_el_lines"), F.col("_el_gone")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(F.size(gone) > 0, F.array_join(F.transform(kept, lambda i: F.coalesce(at(lines, i), F.lit(""))), "\n")).otherwise(F.col(text_col))
@@ -61,5 +79,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.size(gone).cast("long"), "n_spans": spans.cast("long"), "_el_text": text})
         .withColumn(text_col, F.col("_el_text"))
-        .drop("_el_key", "_el_covered", "_el_lines", "_el_gone", "_el_text")
+        .drop("_el_key", "_el_covered", "_el_lines", "_el_gone", "_el_text", "_el_turn")
     )
