@@ -105,12 +105,14 @@ def prune(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], coun
         yield batch.select([0, 1]).take(pa.array(alive))
 
 
-def shingle_set(words: list[str], size: int) -> set:
+def shingle_set(text: str, size: int) -> set:
+    """Distinct runs of ``size`` words of a text whose words are joined by single blanks."""
+    words = text.split(" ")
     return {tuple(words)} if len(words) < size else set(zip(*(words[j:] for j in range(size)), strict=False))
 
 
 def verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, words_a, words_b) to the (a, b) whose full shingle sets reach the similarity."""
+    """(a, b, text_a, text_b) to the (a, b) whose full shingle sets reach the similarity."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -120,76 +122,90 @@ def verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], count: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(task, band, key, part, side, sig, words), sorted by task, to verified links between parts: (a, b).
+def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each task, as sorted by their first column."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
 
-    Members of a task are compared by signature, two sides if it has two, else each with each. Pairs that no batch
-    of hashes rules out are decided on the full sets, the likeliest first; a link joins the two parts, whose
-    members need no further comparison. Pairs that already met in an earlier band are left to that band's bucket.
+
+def candidates(rows: list[tuple], bounds: list[tuple[int, int]], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, two, equal hashes) of the members (task, band, key, part, side, sig) of a task that may be similar.
+
+    Members of different parts are compared, two sides if the task has two, else each with each. Pairs fall as soon
+    as a batch of hashes rules them out; pairs that already met in an earlier band are left to that band's bucket.
     """
-    names = ["a", "b"]
+    band = rows[0][1]
+    sigs = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(-1, count)
+    number = {p: i for i, p in enumerate(dict.fromkeys(r[3] for r in rows))}
+    part = np.array([number[r[3]] for r in rows])
+    side = np.array([r[4] for r in rows])
+    two_sides, order = bool(side.any() and not side.all()), np.arange(len(rows))
+    left, right, hits = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    for i in range(len(rows)):
+        if two_sides and side[i]:
+            continue
+        js = np.flatnonzero((part != part[i]) & (side if two_sides else order > i))
+        equal, begin = np.zeros(len(js), "int64"), 0
+        for n, least in bounds:
+            equal = equal + (sigs[js, begin:n] == sigs[i, begin:n]).sum(1)
+            keep = equal >= least
+            js, equal, begin = js[keep], equal[keep], n
+        if band and len(js):
+            early = (sigs[js, : band * ROWS] == sigs[i, : band * ROWS]).reshape(len(js), band, ROWS).all(2).any(1)
+            js, equal = js[~early], equal[~early]
+        left.append(np.full(len(js), i))
+        right.append(js)
+        hits.append(equal)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(hits)
+
+
+def hopeful(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], count: int) -> Iterator[pa.RecordBatch]:
+    """(task, band, key, part, side, sig), sorted by task, to the members (task, key) that have any candidate."""
+    for rows in by_task(batches):
+        one, two, _ = candidates(rows, bounds, count)
+        if len(one):
+            held = [rows[i] for i in np.union1d(one, two).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[2] for r in held], pa.binary())], names=["task", "key"])
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        keys, band = [r[2] for r in rows], rows[0][1]
-        sigs = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(-1, count)
-        number = {p: i for i, p in enumerate(dict.fromkeys(r[3] for r in rows))}
-        part = np.array([number[r[3]] for r in rows])
-        side = np.array([r[4] for r in rows])
-        parent, sets, found = list(range(len(number))), {}, []
 
-        def root(x: int) -> int:
+def compare_blocks(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], count: int, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(task, band, key, part, side, sig, text), sorted by task, to verified links between parts: (a, b).
+
+    Candidates are decided on the full sets, the likeliest first; a link joins the two parts, whose members need no
+    further comparison, so a task puts out fewer links than it has parts.
+    """
+    for rows in by_task(batches):
+        one, two, equal = candidates(rows, bounds, count)
+        part = [r[3] for r in rows]
+        parent, sets, found = {p: p for p in part}, {}, []
+
+        def root(x):
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        def shingles(i: int) -> set:
-            if i not in sets:
-                sets[i] = shingle_set(rows[i][6], size)
-            return sets[i]
-
-        two_sides, order = bool(side.any() and not side.all()), np.arange(len(rows))
-        left, right, hits = [], [], []
-        for i in range(len(rows)):
-            if two_sides and side[i]:
+        for k in np.argsort(-equal, kind="stable").tolist():
+            i, j = int(one[k]), int(two[k])
+            x, y = root(part[i]), root(part[j])
+            if x == y:
                 continue
-            js = np.flatnonzero((part != part[i]) & (side if two_sides else order > i))
-            equal, begin = np.zeros(len(js), "int64"), 0
-            for n, least in bounds:
-                equal = equal + (sigs[js, begin:n] == sigs[i, begin:n]).sum(1)
-                keep = equal >= least
-                js, equal, begin = js[keep], equal[keep], n
-            if band and len(js):
-                early = (sigs[js, : band * ROWS] == sigs[i, : band * ROWS]).reshape(len(js), band, ROWS).all(2).any(1)
-                js, equal = js[~early], equal[~early]
-            left.append(np.full(len(js), i))
-            right.append(js)
-            hits.append(equal)
-        if left:
-            one, two, equal = np.concatenate(left), np.concatenate(right), np.concatenate(hits)
-            for k in np.argsort(-equal, kind="stable").tolist():
-                i, j = int(one[k]), int(two[k])
-                x, y = root(part[i]), root(part[j])
-                if x == y:
-                    continue
-                shared = len(shingles(i) & shingles(j))
-                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                    parent[x] = y
-                    found.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
-        return found
-
-    rows: list[tuple] = []
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and row[0] != rows[0][0]:
-                out += links(rows)
-                rows = []
-            rows.append(row)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-    if rows and (out := links(rows)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            for m in (i, j):
+                if m not in sets:
+                    sets[m] = shingle_set(rows[m][6], size)
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                parent[x] = y
+                found.append((min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
 def _links(pairs: DataFrame, sigs: DataFrame, worded: DataFrame, size: int, percent: int) -> DataFrame:
@@ -198,13 +214,13 @@ def _links(pairs: DataFrame, sigs: DataFrame, worded: DataFrame, size: int, perc
     bounds = least_matches(percent, count)
     left = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"))
     right = sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
-    alive = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda x: prune(x, bounds, count), "a long, b long")
+    alive = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda x: prune(x, bounds, count), "a binary, b binary")
     alive = settle(alive, "near-alive")
     named = settle(alive.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-named")
     texts = settle(join_checked(worded, named, "key", "left_semi").dropDuplicates(["key"]), "near-words")
-    left = texts.select(F.col("key").alias("a"), F.col("words").alias("words_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("words").alias("words_b"))
-    found = alive.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b").mapInArrow(lambda x: verify(x, size, percent), "a long, b long")
+    left = texts.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
+    right = texts.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
+    found = alive.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(lambda x: verify(x, size, percent), "a binary, b binary")
     return settle(found, "near-links")
 
 
@@ -219,8 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Texts with the same word sequence are one class with one representative, so copies cost one row.
     2. Members of a band's bucket are compared with the smallest member only: pairs grow with a group's size.
     3. Where that leaves a bucket with several components, members outside its largest one are compared with all
-       members of other components, block by block inside tasks: what step 2 could miss. Only verified links leave
-       a task, at most one for each two components that it joins.
+       members of other components, block by block inside tasks: what step 2 could miss. Signatures are compared
+       first; texts are fetched only for members with a candidate left. Only verified links leave a task, fewer
+       than the components it holds.
     Candidates fall away as soon as the posterior of reaching ``percent`` sinks under MISS; survivors are decided
     on the full sets. A pair at the threshold shares no band with the probability stated at BANDS.
 
@@ -233,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = F.array_join("words", " ")
     hashed = worded.select("id", "key", F.xxhash64(joined).alias("c1"), F.xxhash64(F.lit(1), joined).alias("c2"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = settle(hashed.mapInArrow(lambda b: signatures(b, size, count), f"id {id_type}, key long, c1 long, c2 long, n_shingles long, sig binary"), "near-signatures")
+    signed = settle(hashed.mapInArrow(lambda b: signatures(b, size, count), f"id {id_type}, key binary, c1 long, c2 long, n_shingles long, sig binary"), "near-signatures")
 
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "key")).alias("node"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
     classes = settle(classes.select("c1", "c2", "node", F.col("node.key").alias("key"), "copies", "sig"), "near-classes")
@@ -243,7 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = settle(join_checked(bands, shared, "bucket", "inner"), "near-members")
 
     stars = settle(members.where(F.col("node") != F.col("first")).select(F.col("first.key").alias("a"), F.col("node.key").alias("b")).distinct(), "near-stars")
-    links = _links(stars, sigs, worded.select("key", "words"), size, percent)
+    bodies = worded.select("key", joined.alias("body"))
+    links = _links(stars, sigs, bodies, size, percent)
     nodes = classes.select("key", "node")
 
     def components(edges: DataFrame) -> DataFrame:
@@ -273,11 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tasks = F.when(F.col("all") <= 2 * BLOCK, F.array(task(2, zero, zero, no))).when(F.col("main"), inner).otherwise(outer)
         left = left.select("bucket", "band", "key", "part", F.explode(tasks).alias("t")).select(F.xxhash64("bucket", "t.kind", "t.i", "t.j").alias("task"), "band", "key", "part", "t.side")
         left = settle(left, "near-blocks")
-        named = settle(left.select("key").distinct(), "near-named")
-        texts = settle(join_checked(worded.select("key", "words"), named, "key", "left_semi").dropDuplicates(["key"]), "near-words")
-        rows = left.join(join_checked(sigs, named, "key", "left_semi").join(texts, "key"), "key").select("task", "band", "key", "part", "side", "sig", "words")
+        # Signatures alone meet first; texts follow only for members that a signature could not rule out.
         bounds = least_matches(percent, count)
-        more = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda x: compare_blocks(x, bounds, count, size, percent), "a long, b long")
+        rows = left.join(sigs, "key").select("task", "band", "key", "part", "side", "sig")
+        some = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda x: hopeful(x, bounds, count), "task long, key binary")
+        some = settle(some, "near-hopeful")
+        named = settle(some.select("key").distinct(), "near-named")
+        texts = settle(join_checked(bodies, named, "key", "left_semi").dropDuplicates(["key"]), "near-words")
+        rows = join_checked(left, some, ["task", "key"], "left_semi").join(join_checked(sigs, named, "key", "left_semi").join(texts, "key"), "key").select("task", "band", "key", "part", "side", "sig", "body")
+        more = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda x: compare_blocks(x, bounds, count, size, percent), "a binary, b binary")
         more = settle(more.distinct(), "near-links")
         if not more.isEmpty():
             links = settle(links.unionByName(more), "near-links")
