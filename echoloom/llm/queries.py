@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
-from .decontaminate import decontaminate
+from .decontaminate import SLACK, decontaminate
 from .fingerprint import edited_fingerprints
 from .fixity import FILE_BITS, fixity
 from .licenses import CONTAINMENT, PHRASES, STRIDE, TEMPLATES, license_scan
@@ -78,9 +78,19 @@ k AS (SELECT DISTINCT len(run) AS k FROM v),
 g AS (SELECT doc_id, s, k, w[s : s + k - 1] AS run FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, k)),
 h AS (SELECT doc_id, s, k, item_id FROM g JOIN v ON g.run = v.run),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""".format(words=ALNUM_SQL)
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM h GROUP BY doc_id),
+u AS (SELECT row_number() OVER () AS run_id, run FROM (SELECT DISTINCT run FROM v)),
+o AS (SELECT run_id, len(run) AS k, unnest(run) AS term, unnest(range(len(run))) AS o FROM u),
+p AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d) WHERE term IN (SELECT term FROM o)),
+c AS (SELECT term, count(*) AS c FROM p GROUP BY term),
+r AS (SELECT run_id, k, term, o, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(c, 0), o) AS rank FROM o LEFT JOIN c USING (term)),
+a AS (SELECT doc_id, run_id, k, pos - o AS start FROM r JOIN p USING (term) WHERE rank = 1),
+b AS (SELECT doc_id, run_id, pos - o AS start FROM r JOIN p USING (term) WHERE rank = 2),
+m AS (SELECT doc_id, count(DISTINCT run_id) AS n_near FROM (
+        SELECT a.doc_id, a.run_id FROM a JOIN b ON a.doc_id = b.doc_id AND a.run_id = b.run_id AND abs(a.start - b.start) <= {SLACK}
+        UNION ALL SELECT doc_id, run_id FROM a WHERE k = 1) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)""".format(words=ALNUM_SQL)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +106,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, i, l[i : i + 2] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
-o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS turn FROM w),
-c AS (SELECT DISTINCT doc_id, i + j AS i FROM o, (VALUES (0), (1), (2)) AS v(j) WHERE turn > 1),
-s AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (starts) AS n_spans, list(i) AS gone
-      FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1, true) AS starts FROM c) GROUP BY doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, r, i, l[i : i + 2] AS run FROM (SELECT doc_id, r, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
+o AS (SELECT r, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, r, i) AS turn FROM w),
+c AS (SELECT DISTINCT r, i + j AS i FROM o, (VALUES (0), (1), (2)) AS v(j) WHERE turn > 1),
+s AS (SELECT r, count(*) AS n_removed, count(*) FILTER (starts) AS n_spans, list(i) AS gone
+      FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) < i - 1, true) AS starts FROM c) GROUP BY r)
 SELECT doc_id, CASE WHEN n_removed > 0 THEN array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF NOT list_contains(gone, i)], chr(10)) ELSE text END AS text,
        len(l) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans
-FROM d LEFT JOIN s USING (doc_id)"""
+FROM d LEFT JOIN s USING (r)"""
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,13 +153,11 @@ def test_fingerprints(spark):
     assert one[0]["near_next"] == 1 and one[0]["doc_id"] is None
 
 
-def test_fingerprint_ranges(spark, monkeypatch):
-    from echoloom.llm import fingerprint
-
-    rows = corpus(7)
-    whole = sorted(map(tuple, edited_fingerprints(docs(spark, rows)).collect()))
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
-    assert sorted(map(tuple, edited_fingerprints(docs(spark, rows)).collect())) == whole
+def test_fingerprint_bins(spark):
+    """Small bins, among them those of an id that a third of the rows share, give the rows of one bin."""
+    rows = corpus(7) + [(20, f"text {i} of an id with many rows") for i in range(40)] + [(None, f"null {i}") for i in range(30)]
+    whole = sorted(map(tuple, edited_fingerprints(docs(spark, rows)).collect()), key=repr)
+    assert sorted(map(tuple, edited_fingerprints(docs(spark, rows), bin_rows=7).collect()), key=repr) == whole
 
 
 def test_collision_rate(spark):
@@ -193,7 +191,7 @@ def test_toxicity_fit():
         severe.append(g)
     pack = lambda part: (np.concatenate([[0], np.cumsum([len(x) for x in part])]), np.concatenate(part))
     offsets, flat = pack(lists[:2000])
-    model = fit(offsets, flat, np.array(toxic[:2000]))
+    model = fit(offsets, flat, np.array(severe[:2000]))
     assert len(model.cuts) == 2 and model.cuts[0] < model.cuts[1] and model.dense().shape == (SLOTS,)
     dense = model.dense()
     s = np.array([dense[x].sum() for x in lists[2000:]])
@@ -201,7 +199,7 @@ def test_toxicity_fit():
     found = s > model.cuts[0]
     assert found[held].mean() > 0.97 and found[~held].mean() < 0.01
     assert (s > model.cuts[1])[grades == 2].mean() > 0.9 and (s > model.cuts[1])[grades == 1].mean() < 0.3
-    assert len(fit(offsets, flat, np.zeros(2000, bool)).slots) == 0
+    assert len(fit(offsets, flat, np.zeros(2000, int)).slots) == 0
 
 
 def test_toxicity(spark):

@@ -13,6 +13,6 @@ def test_repeated_contaminated_rows(spark, times):
     rows = [(1, f"start {passage} end")] * times + [(2, "k9 " * 12)] * times + [(3, f"{passage} alone"), (4, "clean words"), (5, "what now"), (5, "what now"), (None, passage), (None, passage)]
     items = [(0, passage), (1, "K9 " * 10), (2, "what"), (3, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(tuple, decontaminate(docs(spark, rows), bench).drop("key").collect()), key=repr)
+    got = sorted(map(tuple, decontaminate(docs(spark, rows), bench).drop("key", "n_near").collect()), key=repr)
     assert got == sorted(((i, *hits_by_force(t, items)) for i, t in rows), key=repr)
     assert [r["doc_id"] for r in drop_contaminated(docs(spark, rows), bench).collect()] == [4]

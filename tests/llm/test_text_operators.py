@@ -44,19 +44,19 @@ def test_licenses(spark):
 
 
 def lines_by_force(rows):
-    # Rows with the same id and text are one row.
-    unique = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    seen, covered = {}, {}
-    for r in unique:
+    seen, covered, turns = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        turns[r] = turns.get(r, 0) + 1
         lines = (r[1] or "").split("\n")
         for i in range(len(lines) - 2):
             run = tuple(lines[i : i + 3])
             if run in seen:
-                covered.setdefault(r, set()).update((i, i + 1, i + 2))
+                covered.setdefault((r, turns[r]), set()).update((i, i + 1, i + 2))
             seen[run] = 1
     out = []
     for r in rows:
-        lines, gone = (r[1] or "").split("\n"), covered.get(r, set())
+        lines, gone = (r[1] or "").split("\n"), covered.get((r, turns[r]), set())
+        turns[r] -= 1
         text = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else r[1]
         out.append((r[0], text, len(lines), len(gone), sum(i - 1 not in gone for i in gone)))
     return out
@@ -92,7 +92,7 @@ def test_decontamination(spark):
     rows += [(300, "say WHAT now"), (301, "k9 " * 30), (302, "été " * 12), (303, "what")]
     items = [(0, " ".join(texts[12].split()[5:40])), (2, "What now?"), (10, None), (11, ""), (12, "K9 " * 10), (13, " ".join(texts[12].split()[8:30])), (14, "no such words here at all in any text of the corpus"), (2, "what"), (15, "Été " * 10)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(tuple, decontaminate(docs(spark, rows), bench).drop("key").collect()), key=repr)
+    got = sorted(map(tuple, decontaminate(docs(spark, rows), bench).drop("key", "n_near").collect()), key=repr)
     assert got == sorted(((i, *hits_by_force(t, items)) for i, t in rows), key=repr)
     clean = drop_contaminated(docs(spark, rows), bench)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, t in rows if not hits_by_force(t, items)[4])
