@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, UPPER, table
 from .decontaminate import SLACK, decontaminate
 from .fingerprint import edited_fingerprints
-from .fixity import FILE_BITS, fixity
+from .fixity import FILE_BITS, fixity, warc_record
 from .licenses import CONTAINMENT, PHRASES, STRIDE, TEMPLATES, license_scan
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
@@ -122,15 +123,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replica(pages: DataFrame) -> DataFrame:
-    """A second copy of the pages with faults at known places: bytes changed, records lost, one record too many."""
+    """A second copy of the pages with faults at known places: bytes changed, records lost, one record too many, records
+    out of order (at the end of their archive) and gaps before records."""
     changed = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.substring(F.col("html"), F.lit(2), F.length("html")))).otherwise(F.col("html"))
     kept = pages.where((F.col("page_id") % 101 != 7) | F.col("page_id").isNull()).select("page_id", "url", changed.alias("html"))
-    return kept.unionByName(pages.where(F.col("page_id") % 103 == 5).select((-1 - F.col("page_id")).alias("page_id"), "url", "html"))
+    copy = kept.unionByName(pages.where(F.col("page_id") % 103 == 5).select((-1 - F.col("page_id")).alias("page_id"), "url", "html"))
+    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    copy = copy.withColumns({"size": F.length(record), "digest": F.sha2(record, 256), "late": F.col("page_id") % 107 == 11, "gap": F.when(F.col("page_id") % 109 == 17, 16).otherwise(0)})
+    archive = F.floor(F.col("page_id") / F.lit(1 << FILE_BITS))
+    before = Window.partitionBy(archive).orderBy("late", "page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return copy.withColumn("offset", F.coalesce(F.sum(F.col("size") + F.col("gap")).over(before), F.lit(0)) + F.col("gap")).select("page_id", "url", "html", "offset")
 
 
 def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return fixity(pages, _replica(pages))
+    return fixity(pages, _replica(pages), offset_col="offset")
 
 
 OP9_SQL = rf"""
@@ -139,8 +146,11 @@ x AS (SELECT -1 - page_id AS page_id, body, url, 'extra' AS state FROM b WHERE p
       UNION ALL SELECT page_id, body, url, CASE WHEN page_id % 101 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'corrupt' ELSE 'ok' END FROM b),
 r AS (SELECT page_id, state, encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || octet_length(body) || chr(13) || chr(10) || chr(13) || chr(10)) || body || encode(chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM x),
-m AS (SELECT page_id, (page_id >> {FILE_BITS})::BIGINT AS archive, octet_length(record) AS length, sha256(record) AS digest, state FROM r)
-SELECT page_id, archive, CASE WHEN state = 'extra' THEN 0 ELSE coalesce(sum(length) FILTER (state <> 'extra') OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS offset, length, digest, state FROM m"""
+m AS (SELECT page_id, (page_id >> {FILE_BITS})::BIGINT AS archive, octet_length(record) AS length, sha256(record) AS digest, state, page_id % 107 = 11 AS late FROM r),
+o AS (SELECT *, CASE WHEN page_id % 109 = 17 THEN 16 ELSE 0 END AS gap, max(page_id) FILTER (state <> 'missing') OVER (PARTITION BY archive ORDER BY late, page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM m)
+SELECT page_id, archive, CASE WHEN state = 'extra' THEN coalesce(sum(length + gap) FILTER (state = 'extra') OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap
+       ELSE coalesce(sum(length) FILTER (state <> 'extra') OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS offset,
+       length, digest, CASE WHEN state = 'ok' AND (gap > 0 OR coalesce(ahead > page_id, false)) THEN 'moved' ELSE state END AS state FROM o"""
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,13 +170,21 @@ def _op10_sql() -> str:
 WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({host('url')}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {key('url')} AS alias FROM pages),
 j AS (SELECT *, CASE {cases} END AS rule FROM p),
 v AS (SELECT *, CASE rule {own} END AS own FROM j),
-tags AS (SELECT alias, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
-links AS (SELECT alias AS a, regexp_extract(tag, '(?is)(?:href\s*=\s*["'']?|url\s*=\s*["'']?)\s*([a-z][a-z0-9+.-]*://[^"''\s>;]+)', 1) AS target FROM tags
-          WHERE regexp_matches(tag, '(?is)rel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh\b')),
-e AS (SELECT a, {key('target')} AS b FROM links),
-both_ways AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
-reach(a, b) AS (SELECT DISTINCT alias, alias FROM v WHERE alias IS NOT NULL UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
-votes AS (SELECT reach.a AS alias, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM reach JOIN v ON v.alias = reach.b WHERE own IS NOT NULL GROUP BY 1)
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE contains(url, '://')),
+raw AS (SELECT url, regexp_extract(tag, '(?is)\b(?:href|url)\s*=\s*["'']?\s*([^"''\s>;]+)', 1) AS t FROM tags
+        WHERE regexp_matches(tag, '(?is)rel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh\b')),
+parts AS (SELECT *, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM raw WHERE t <> '' AND NOT starts_with(t, '#')),
+joined AS (SELECT *, CASE WHEN starts_with(t, '/') THEN t WHEN starts_with(t, '?') THEN (CASE WHEN path = '' THEN '/' ELSE path END) || t ELSE regexp_extract(path, '(?s)^(.*)/', 1) || '/' || t END AS whole FROM parts),
+cleaned AS (SELECT *, array_to_string(list_reduce(list_transform(string_split(regexp_extract(whole, '(?s)^[^?#]*', 0), '/'), lambda x: [x]),
+        lambda done, x: CASE WHEN x[1] = '..' THEN done[1 : greatest(len(done) - 1, 1)] WHEN x[1] = '.' THEN done ELSE done || x END), '/') || regexp_extract(whole, '(?s)^[^?#]*(.*)', 1) AS rest FROM joined),
+links AS (SELECT {key('url')} AS a, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
+        WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || rest END AS target FROM cleaned),
+e AS (SELECT a, {key('target')} AS b, {host('target')} AS host, regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM links WHERE contains(target, '://') AND a IS NOT NULL),
+ends AS (SELECT b AS alias, CASE {cases} END AS rule FROM e),
+voters AS (SELECT alias, own FROM v UNION ALL SELECT alias, CASE rule {own} END FROM ends),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT DISTINCT alias, alias FROM voters WHERE alias IS NOT NULL UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+votes AS (SELECT reach.a AS alias, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM reach JOIN voters ON voters.alias = reach.b WHERE own IS NOT NULL GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked AND NOT allowed THEN 'block' END, 'allow') AS verdict
 FROM v LEFT JOIN votes USING (alias)"""
 

@@ -50,15 +50,40 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return text, verdict
 
 
+def resolve(target: Column, base: Column) -> Column:
+    """The address that a link's ``target`` names on the page ``base``; null if it names no other page.
+
+    Absolute addresses stay; ``//host/x`` takes the page's scheme, ``/x`` its host, ``?q`` its path, and other
+    targets are relative to the folder of its path, ``.`` and ``..`` resolved. Empty targets, fragments and schemes
+    without ``//`` (mailto:, javascript:) name none.
+    """
+    path = path_of(base)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit("/"))
+    joined = F.when(target.startswith("/"), target).when(target.startswith("?"), F.concat(F.when(path == "", "/").otherwise(path), target)).otherwise(F.concat(folder, target))
+    steps = F.split(F.regexp_extract(joined, r"(?s)^[^?#]*", 0), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    local = F.concat(F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), F.array_join(kept, "/"), F.regexp_extract(joined, r"(?s)^[^?#]*(.*)", 1))
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None).cast("string"))
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.lit(":"), target))
+        .otherwise(local)
+    )
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b, to): alias keys tied by a canonical link or a meta refresh with an absolute target, and that target."""
+    """(a, b, to): alias keys tied by a canonical link or a meta refresh, and the target, resolved against the page's own url."""
     html = F.col(html_col)
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tags = F.filter(tags, lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh\b"))
-    target = lambda t: F.regexp_extract(t, r"(?is)(?:href\s*=\s*[\"']?|url\s*=\s*[\"']?)\s*([a-z][a-z0-9+.-]*://[^\"'\s>;]+)", 1)
+    target = lambda t: F.regexp_extract(t, r"(?is)\b(?:href|url)\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)
     # The tags are looked for only in pages that name one of the two.
     found = F.when(html.rlike("(?i)canonical|http-equiv"), F.transform(tags, target))
-    return pages.select(alias_key(F.col(url_col)).alias("a"), F.explode(found).alias("to")).select("a", alias_key(F.col("to")).alias("b"), "to").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    links = pages.select(F.col(url_col).alias("url"), F.explode(found).alias("target")).where(F.col("url").contains("://"))
+    links = links.select("url", resolve(F.col("target"), F.col("url")).alias("to"))
+    return links.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("to")).alias("b"), "to").where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
 def url_filter(pages: DataFrame, rules=RULES, links: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:

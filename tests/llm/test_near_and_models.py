@@ -254,3 +254,20 @@ def test_descent_reads_little(spark):
     found, visited = audit(one, two)
     assert [tuple(r) for r in found.collect()] == [(1234, "corrupt")] and visited == [1, 16, 16, 16]
     assert audit(one, one)[1] == [1, 0, 0, 0]
+
+
+def test_fixity_offsets(spark):
+    """The replica's own offsets count: gaps, overlaps and order, but not what follows from a longer or lost record."""
+    pages = [(i, "u", "x" * (i % 5)) for i in range(1, 40)]
+    schema = "page_id long, url string, html string"
+    ours = spark.createDataFrame(pages, schema)
+    size = {r["page_id"]: r["length"] for r in fixity(ours, ours).collect()}
+    order = [i for i in range(1, 40) if i not in (9, 20, 21)] + [20, 21]
+    rows, at = [], 0
+    for i in order:
+        at += {15: 7, 30: -3}.get(i, 0)
+        rows.append((i, "u", "y" * 50 if i == 5 else "x" * (i % 5), at))
+        at += size[i] + (50 - 0 + 1 if i == 5 else 0)
+    theirs = spark.createDataFrame(rows, schema + ", at long")
+    states = {r["page_id"]: r["state"] for r in fixity(ours, theirs, offset_col="at").collect()}
+    assert {i: s for i, s in states.items() if s != "ok"} == {5: "corrupt", 9: "missing", 15: "moved", 30: "moved", 20: "moved", 21: "moved"}
