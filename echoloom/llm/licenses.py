@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, at, settle
+from .common import alnum_words, at, join_checked, settle
 
 #: Phrase and label of the base scan.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -63,29 +63,38 @@ def token_order(base: DataFrame, tokens: list[str]) -> list[str]:
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def _matches(block: Column, order: list[str], templates, percent: int) -> Column:
-    """(label, share) of the templates that a block meets.
+def prefix_index(spark: SparkSession, templates, order: list[str], percent: int) -> tuple[DataFrame, DataFrame]:
+    """(token, template, place) of the templates' prefixes, and (template, label, n, need, words, prefix); both settled.
 
-    ``block`` holds its template words in the global order, rarest first. A template of n words needs
-    k = ceil(n * percent / 100) of them, so the first n - k + 1 words of the template and the first
-    size - k + 1 of the block share one (prefix filter), the block has k at least (length filter), and from the
-    first shared word on both still have enough left (positional filter). Survivors are counted exactly.
+    Words stand in the global order, rarest first. A template of n words needs k = ceil(n * percent / 100) of them, so
+    a block that meets it shares one of its first n - k + 1 words: those are its prefix.
     """
     rank = {t: i for i, t in enumerate(order)}
     rows = []
-    for label, text in templates:
+    for i, (label, text) in enumerate(templates):
         words = sorted(set(text.split(" ")), key=rank.__getitem__)
         need = ceil(len(words) * percent / 100)
-        rows.append(F.struct(F.lit(label).alias("label"), F.lit(len(words)).alias("n"), F.lit(need).alias("need"), F.array(*map(F.lit, words)).alias("words"), F.array(*map(F.lit, words[: len(words) - need + 1])).alias("prefix")))
-    index = F.array(*rows)
+        rows.append((i, label, len(words), need, words, words[: len(words) - need + 1]))
+    table = settle(spark.createDataFrame(rows, "template int, label string, n int, need int, words array<string>, prefix array<string>"), "license-templates")
+    index = table.select("template", F.posexplode("prefix").alias("place", "token"))
+    return settle(index, "license-prefixes"), table
 
-    def meets(t: Column) -> Column:
-        head = F.slice(block, 1, F.greatest(F.size(block) - t["need"] + 1, F.lit(0)))
-        shared = at(F.array_intersect(head, t["prefix"]), F.lit(0))
-        left = F.least(F.size(block) - F.array_position(block, shared), t["n"] - F.array_position(t["words"], shared)) + 1
-        return (F.size(block) >= t["need"]) & F.arrays_overlap(head, t["prefix"]) & (left >= t["need"]) & (F.size(F.array_intersect(t["words"], block)) >= t["need"])
 
-    return F.transform(F.filter(index, meets), lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / t["n"]).alias("share")))
+def block_matches(blocks: DataFrame, index: DataFrame, table: DataFrame, shortest: int) -> DataFrame:
+    """(row, i, label, share): blocks (row, i, words in the global order) joined with the templates they meet.
+
+    The join is on words of both prefixes. Of each pair the first shared word alone goes on (prefix filter), if the
+    block has as many words as the template needs (length filter) and from that word on both still have enough left
+    (positional filter). Survivors are counted exactly.
+    """
+    head = F.slice("words", 1, F.size("words") - shortest + 1)
+    tokens = blocks.where(F.size("words") >= shortest).select("row", "i", "words", F.posexplode(head).alias("at", "token"))
+    pairs = join_checked(tokens, index, "token", "inner").withColumnRenamed("words", "block")
+    pairs = join_checked(pairs, table, "template", "inner").where((F.size("block") >= F.col("need")) & (F.least(F.size("block") - F.col("at"), F.col("n") - F.col("place")) >= F.col("need")))
+    own = F.slice("block", 1, F.size("block") - F.col("need") + 1)
+    pairs = pairs.where(F.get(F.array_intersect(own, "prefix"), F.lit(0)) == F.col("token"))
+    shared = F.size(F.array_intersect("words", "block"))
+    return pairs.where(shared >= F.col("need")).select("row", "i", "label", (shared / F.col("n")).alias("share"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, percent: int = CONTAINMENT, stride: int = STRIDE) -> DataFrame:
@@ -97,12 +106,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a phrase, else the largest such share, else 0. matches lists (block, label, share).
 
     Null text is empty: no words, no labels, score 0. Repeated rows each get a row, ties among labels are sorted,
-    an empty table gives an empty result, and other columns are not read. ``templates`` and ``phrases`` are part
-    of the plan and meant to be a few dozen.
+    an empty table gives an empty result, and other columns are not read. ``templates`` are (label, text) pairs or a
+    table of them, matched by a join; what reaches the driver are they and a count for each of their words.
+    ``phrases`` are part of the plan.
     """
+    if isinstance(templates, DataFrame):
+        templates = [tuple(t) for t in templates.select("label", "text").orderBy("label", "text").collect()]
     worded = docs.select(F.col(id_col), alnum_words(F.col(text_col)).alias("words"))
     tokens = sorted({w for _, t in templates for w in t.split(" ")})
-    known = F.array(*map(F.lit, tokens))
+    known = F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
     base = worded.select(
         id_col,
         F.size("words").cast("long").alias("n_words"),
@@ -110,20 +122,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # Words of no template cannot count towards one, so blocks keep the others alone: a small table.
         F.transform(_blocks(F.col("words"), stride), lambda b: F.array_intersect(known, b)).alias("blocks"),
     )
-    base = settle(base, "license-blocks")
+    # Numbers are fixed by being written, so repeated rows have their own.
+    base = settle(base.withColumn("row", F.monotonically_increasing_id()), "license-blocks")
     order = token_order(base, tokens)
-    ordered = F.array(*map(F.lit, order))
-    base = base.withColumn("blocks", F.transform("blocks", lambda b: F.array_intersect(ordered, b)))
+    ordered = F.array(*map(F.lit, order)) if order else F.array().cast("array<string>")
+    shortest = min((ceil(len(set(t.split(" "))) * percent / 100) for _, t in templates), default=1)
+    blocks = base.select("row", F.posexplode("blocks").alias("i", "words")).where(F.size("words") >= shortest).withColumn("words", F.array_intersect(ordered, "words"))
+    index, table = prefix_index(docs.sparkSession, templates, order, percent)
+    found = block_matches(blocks, index, table, shortest).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("block"), "label", "share"))).alias("matches"))
+    found = settle(found, "license-matches")
     places = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])
     named = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
-    shortest = min(ceil(len(set(t.split(" "))) * percent / 100) for _, t in templates)
-    found = F.flatten(
-        F.transform(
-            F.filter(F.transform(F.col("blocks"), lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: F.size(x["b"]) >= shortest),
-            lambda x: F.transform(_matches(x["b"], order, templates, percent), lambda m: F.struct(x["i"].alias("block"), m["label"].alias("label"), m["share"].alias("share"))),
-        )
-    )
-    out = base.select(id_col, "n_words", places.alias("places"), F.array_sort(F.array_distinct(named)).alias("named"), found.alias("matches"))
+    base = join_checked(base.drop("blocks"), found, "row", "left")
+    none = F.array().cast("array<struct<block:int,label:string,share:double>>")
+    out = base.select(id_col, "n_words", places.alias("places"), F.array_sort(F.array_distinct(named)).alias("named"), F.coalesce("matches", none).alias("matches"))
     return out.select(
         id_col,
         "n_words",

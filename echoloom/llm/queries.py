@@ -14,7 +14,7 @@ from .licenses import CONTAINMENT, PHRASES, STRIDE, TEMPLATES, license_scan
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
 from .packing import pack
-from .suffix_dedup import suffix_dedup
+from .suffix_dedup import LENGTH, suffix_dedup
 from .toxicity import score, train
 from .url_filter import RULES, rule_index, url_filter
 
@@ -102,6 +102,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - {LENGTH - 1}, 0))) AS i FROM d)),
+g AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+c AS (SELECT r, i FROM w JOIN g USING (m)),
+f AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM c),
+s AS (SELECT r, min(i) AS s, max(i) + {LENGTH} AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM f) GROUP BY r, n),
+p AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM s),
+k AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept, max(e) AS last, sum(e - s) AS n_removed, count(*) AS n_spans FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -205,6 +219,7 @@ ORACLE_SQL = {
     "op1_license_scan": _op1_sql(),
     "op2_near_duplicates": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_merkle_audit": OP9_SQL,
     "op10_url_filter": _op10_sql(),

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, row_key, settle, whole
+from .common import is_small, join_checked, settle, whole
 
 LENGTH = 200
 #: Bytes of an anchor. Of each string of LENGTH bytes, the anchor is the run of GRAM bytes with the smallest hash.
@@ -20,16 +20,28 @@ GRAM = 48
 CHUNK = 1 << 22
 #: Bytes of contexts refined together in a task.
 REFINED = 1 << 22
-#: Anchors with more different contexts than this are counted window by window, spread over all tasks.
+#: Contexts of an anchor that are refined in one task (7 MB of them). Anchors with more are refined the same way, but over
+#: all tasks, round by round.
 HOT_CONTEXTS = 20_000
+#: Bytes of the first buckets there.
+FIRST = 25
 
 _U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
-_SPOTS = "akey long, c1 long, c2 long, key long, start long, length long"
+_SPOTS = "akey long, c1 long, c2 long, k1 long, k2 long, start long, length long"
 _CONTEXTS = "akey long, c1 long, c2 long, bytes binary"
 _SPANS = "akey long, c1 long, c2 long, spans array<struct<s:long,e:long>>"
 
 
+#: 128 bits that tell rows by id and text, in two longs: they can be kept in hash aggregates.
+KEY = ["k1", "k2"]
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    text = whole(F.col(text_col))
+    return [F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k2")]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U64(33))) * _U64(0xFF51AFD7ED558CCD)
     return x ^ (x >> _U64(32))
@@ -90,26 +102,26 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 
 
 def find_spots(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(key, text) to a row for each run of windows with one anchor: the anchor, a 128-bit hash of the run, its place."""
+    """(k1, k2, text) to a row for each run of windows with one anchor: the anchor, a 128-bit hash of the run, its place."""
     roller, names = Roller(gram), [c.split()[0] for c in _SPOTS.split(", ")]
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         digests: list[bytes] = []
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        keys = zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)
 
         def flush() -> pa.RecordBatch:
             hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            akey, key, start, size = (np.concatenate(x) for x in out)
+            akey, k1, k2, start, size = (np.concatenate(x) for x in out)
             for x in out:
                 x.clear()
             digests.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (akey, hashes[:, 0], hashes[:, 1], key, start, size)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (akey, hashes[:, 0], hashes[:, 1], k1, k2, start, size)], names=names)
 
-        for key, data in zip(keys, _texts(batch, "text"), strict=True):
+        for (k1, k2), data in zip(keys, _texts(batch, "text"), strict=True):
             view = memoryview(data)
             for akey, starts, ends in super_windows(data, roller, length) if len(data) >= length else ():
                 digests += [xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                for x, y in zip(out, (akey, np.full(len(akey), key), starts, ends - starts), strict=True):
+                for x, y in zip(out, (akey, np.full(len(akey), k1), np.full(len(akey), k2), starts, ends - starts), strict=True):
                     x.append(y.astype("int64"))
                 if len(digests) > 200_000:
                     yield flush()
@@ -228,44 +240,60 @@ def slice_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:3]), pa.array([r[3] for r in rows], pa.binary())], names=names)
 
 
-def window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts to their windows: (akey, c1, c2, pos, w1, w2)."""
+def first_buckets(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """(context, bytes) to (context, pos, g1, g2): a 128-bit hash of the ``first`` bytes at each position."""
     for batch in batches:
-        akey, c1, c2 = (batch.column(i).to_pylist() for i in range(3))
-        for k, x, y, b in zip(akey, c1, c2, batch.column(3).to_pylist(), strict=True):
-            n = len(b) - length + 1
-            hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[p : p + length]) for p in range(n)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, "int64")) for v in (k, x, y)] + [pa.array(np.arange(n, dtype="int64")), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["akey", "c1", "c2", "pos", "w1", "w2"])
+        for context, data in zip(batch.column(0).to_pylist(), _texts(batch, "bytes"), strict=True):
+            view, n = memoryview(data), len(data) - first + 1
+            hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[p : p + first]) for p in range(n)), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, context)), pa.array(np.arange(n)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["context", "pos", "g1", "g2"])
 
 
-def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of contexts under very frequent anchors: windows counted by hash with partial sums, none gathered in one task."""
-    windows = settle(contexts.mapInArrow(lambda b: window_hashes(b, length), "akey long, c1 long, c2 long, pos long, w1 long, w2 long"), "hot-windows")
-    again = settle(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "hot-repeated")
-    hits = join_checked(windows, again, ["w1", "w2"], "left_semi")
-    return hits.groupBy("akey", "c1", "c2").agg(F.transform(F.array_sort(F.collect_list("pos")), lambda p: F.struct(p.alias("s"), (p + length).alias("e"))).alias("spans"))
+def _hot_spans(contexts: DataFrame, length: int, first: int = FIRST) -> DataFrame:
+    """Spans of contexts under very frequent anchors: bucket-pointer refinement as in refine(), a table of positions a round.
+
+    Positions start in buckets by their first bytes. A round splits the buckets by the buckets of the positions
+    ``depth`` bytes later, as the round before left them, and drops positions that are alone. Buckets are counted
+    with partial sums and named by number, so no task gathers one.
+    """
+    first = min(first, length)
+    contexts = settle(contexts.withColumn("context", F.monotonically_increasing_id()), "hot-contexts")
+
+    def deal(rows: DataFrame, by: list[str]) -> DataFrame:
+        named = settle(rows.groupBy(*by).count().where("count > 1").select(*by, F.monotonically_increasing_id().alias("bucket_")), "hot-buckets")
+        return settle(join_checked(rows, named, by, "inner").select("context", "pos", F.col("bucket_").alias("bucket")), "hot-positions")
+
+    rows = settle(contexts.select("context", "bytes").mapInArrow(lambda b: first_buckets(b, first), "context long, pos long, g1 long, g2 long"), "hot-grams")
+    rows, depth = deal(rows, ["g1", "g2"]), first
+    while depth < length:
+        step = min(depth, length - depth)
+        later = rows.select("context", (F.col("pos") - step).alias("pos"), F.col("bucket").alias("later"))
+        rows, depth = deal(rows.join(later, ["context", "pos"]), ["bucket", "later"]), depth + step
+    spans = rows.groupBy("context").agg(F.transform(F.array_sort(F.collect_list("pos")), lambda p: F.struct(p.alias("s"), (p + length).alias("e"))).alias("spans"))
+    return contexts.select("context", "akey", "c1", "c2").join(spans, "context").drop("context")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, spans): byte spans of each text, possibly overlapping, that strings of ``length`` bytes with another start cover.
+    """(k1, k2, spans): byte spans of each text, possibly overlapping, that strings of ``length`` bytes with another start cover.
 
     1. Windows of ``length`` bytes are gathered in runs with one anchor: a hundredth as many rows as bytes.
     2. Runs under an anchor that occurs once are unique. Runs that occur twice as they are, are covered whole.
     3. What is left are runs at the borders of repeats: of each, one copy's bytes are fetched, and the runs of an
-       anchor are refined together, by bucket pointers, to depth ``length``.
+       anchor are refined together, by bucket pointers, to depth ``length``: inside a task, or round by round over
+       all tasks where an anchor has too many.
     """
-    source = docs.select(row_key(F.col(id_col), whole(F.col(text_col))).alias("key"), whole(F.col(text_col)).alias("text"))
+    source = docs.select(*_keys(id_col, text_col), whole(F.col(text_col)).alias("text"))
     spots = settle(source.mapInArrow(lambda b: find_spots(b, length, gram), _SPOTS), "suffix-spots")
     common = settle(spots.groupBy("akey").count().where("count > 1").select("akey"), "suffix-anchors")
-    spots = settle(join_checked(spots, common, "akey", "left_semi", 4 * 10**6), "suffix-common")
+    spots = settle(join_checked(spots, common, "akey", "left_semi"), "suffix-common")
     # First of a group in one scan order: all three are of one row.
-    runs = settle(spots.groupBy("akey", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("start").alias("start"), F.first("length").alias("length")), "suffix-runs")
+    runs = settle(spots.groupBy("akey", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("length").alias("length")), "suffix-runs")
     several = settle(runs.groupBy("akey").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "suffix-several")
-    border = settle(join_checked(runs, several, "akey", "inner", 2 * 10**6), "suffix-border")
+    border = settle(join_checked(runs, several, "akey", "inner"), "suffix-border")
 
-    wanted = border.groupBy("key").agg(F.collect_list(F.struct("akey", "c1", "c2", "start", "length")).alias("spots"))
-    named = settle(border.select("key").distinct(), "suffix-named")
-    texts = join_checked(source, named, "key", "left_semi").join(wanted, "key").select("text", "spots")
+    wanted = border.groupBy("k1", "k2").agg(F.collect_list(F.struct("akey", "c1", "c2", "start", "length")).alias("spots"))
+    named = settle(border.select("k1", "k2").distinct(), "suffix-named")
+    texts = join_checked(source, named, KEY, "left_semi").join(wanted, KEY).select("text", "spots")
     contexts = texts.mapInArrow(slice_contexts, _CONTEXTS)
     hot = settle(several.where(F.col("contexts") > HOT_CONTEXTS).select("akey"), "suffix-hot")
     if hot.isEmpty():
@@ -277,8 +305,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Runs that occur twice come last and whole.
     twice = runs.where("n > 1").select("akey", "c1", "c2", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("length").alias("e"))).alias("spans"))
     covered = settle(spans.unionByName(twice), "suffix-spans")
-    placed = join_checked(spots, covered, ["akey", "c1", "c2"], "inner").select("key", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
-    return settle(placed.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-covered")
+    placed = join_checked(spots, covered, ["akey", "c1", "c2"], "inner").select("k1", "k2", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
+    return settle(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-covered")
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +338,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram)
     id_type = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"), row_key(F.col(id_col), whole(F.col(text_col))).alias("key"))
-    joined = keyed.join(spans, "key", "left").select("id", "text", "spans")
+    keyed = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"), *_keys(id_col, text_col))
+    named = spans.select(*KEY)
+    if is_small(named):
+        # Texts without a span stay where they are; the others move to theirs.
+        touched = keyed.join(F.broadcast(named), KEY, "left_semi").join(spans, KEY).select("id", "text", "spans")
+        joined = keyed.join(F.broadcast(named), KEY, "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).unionByName(touched)
+    else:
+        joined = keyed.join(spans, KEY, "left").select("id", "text", "spans")
     return joined.mapInArrow(cut_spans, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("id", id_col)
