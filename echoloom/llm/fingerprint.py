@@ -21,11 +21,12 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
     """``keep``, term and its weight in each of the texts, for each distinct word of any of them.
 
     ``texts`` maps a text column to the name of its weights. Words stand between ASCII white space; a weight is a
-    word's number in the text, null where the text lacks the word. A row whose texts have no words yields no row.
+    word's number in the text, null where the text lacks the word. Each row also has one term without weights, which
+    draws nothing, so that rows whose texts have no words are not lost.
     """
     bodies = df.select(*keep, F.posexplode(F.array(*texts)).alias("variant", "body"))
-    words = bodies.select(*keep, "variant", F.explode(F.split("body", SPACE_RUN)).alias("word")).where("word <> ''")
-    counts = [F.count(F.when(F.col("variant") == k, 1)).alias(w) for k, w in enumerate(texts.values())]
+    words = bodies.select(*keep, "variant", F.explode(F.concat(F.split(F.coalesce("body", F.lit("")), SPACE_RUN), F.array(F.lit(None).cast("string")))).alias("word")).where("word IS NULL OR word <> ''")
+    counts = [F.count(F.when(F.col("variant") == k, F.col("word"))).alias(w) for k, w in enumerate(texts.values())]
     counted = words.groupBy(*keep, F.xxhash64("word").alias("term")).agg(*counts)
     return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()])
 
@@ -75,24 +76,19 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
         code = F.col(f"h0_{i}").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
         return F.min(F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)).alias(f"d{k}_{i}")
 
-    # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros, as in blank().
+    # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
     least = rows.groupBy(*by, "block").agg(*[draw(k, i) for k in range(len(weights)) for i in draws])
     digits = [F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.col(f"d{k}_{i}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)))), 4, "0") for i in draws]).alias(f"p{k}") for k in range(len(weights))]
     parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", *digits))).alias("parts"))
     return parts.select(*by, *[F.array_join(F.col(f"parts.p{k}"), "").alias(name) for k, name in enumerate(prints.values())])
 
 
-def blank(count: int) -> Column:
-    """The fingerprint of a text without words."""
-    return F.lit("0" * 4 * count)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
     """(id, key, fingerprint) of each distinct (id, text); null text is empty. Words leave their task as draws only."""
     source = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     keyed = source.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "text").dropDuplicates(["key"])
-    drawn = samples(weighted_words(keyed, {"text": "weight"}, ["key"]), ["key"], {"weight": "fingerprint"}, count)
-    return keyed.select("id", "key").join(drawn, "key", "left").select(F.col("id").alias(id_col), "key", F.coalesce("fingerprint", blank(count)).alias("fingerprint"))
+    words = weighted_words(keyed, {"text": "weight"}, ["id", "key"])
+    return samples(words, ["id", "key"], {"weight": "fingerprint"}, count).select(F.col("id").alias(id_col), "key", "fingerprint")
 
 
 def likeness(a: Column, b: Column, count: int = SAMPLES) -> Column:
@@ -171,10 +167,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("next", F.lit(1), cut))
     both = placed.select("range", "bin", "row", "guest", "given", F.col("n_chars").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"))
-    by = ["range", "bin", "row"]
-    drawn = samples(weighted_words(both, {"text": "weight", "edited": "edited_weight"}, by), by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count)
-    # Draws are combined under short keys; what else belongs to a row comes from a second look at the same shuffled texts.
-    about = both.select(*by, "guest", "given", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    drawn = about.join(drawn, by, "left").withColumns({c: F.coalesce(c, blank(count)) for c in ("fingerprint", "edited_fingerprint")})
+    # Draws are combined under short keys; what else belongs to a row comes from a second look at the shuffled texts.
+    # The id is among the keys so that both looks ask for the same columns, and share one exchange.
+    by = ["range", "bin", "row", "given"]
+    words = weighted_words(both, {"text": "weight", "edited": "edited_weight"}, by)
+    drawn = samples(words, by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count)
+    about = both.select(*by, "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    drawn = about.join(drawn.drop("given"), by[:3])
     near = drawn.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("range", "bin").orderBy("row"))).where("guest = 0")
     return near.select(F.col("given").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), count).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), count).alias("near_next"))
