@@ -10,11 +10,22 @@ NULL_TOKENS = ("null", "none", "nil", "nan", "undefined")
 GRADES = ("PS", "S", "A", "B", "C", "D")
 GRADE_SUFFIX = "级"
 #: Country names of the sources and their codes.
-COUNTRIES = {"中国": "CN", "美国": "US", "日本": "JP", "德国": "DE", "英国": "GB", "法国": "FR", "意大利": "IT", "西班牙": "ES", "加拿大": "CA", "澳大利亚": "AU", "韩国": "KR", "印度": "IN", "巴西": "BR", "墨西哥": "MX", "俄罗斯": "RU", "荷兰": "NL", "波兰": "PL"}
-
-_SPACE = r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+$"
-#: Characters of scripts without spaces between words.
-CJK = r"[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
+COUNTRIES = {
+    "美国": "US", "日本": "JP", "德国": "DE", "英国": "GB", "法国": "FR", "西班牙": "ES", "墨西哥": "MX", "加拿大": "CA", "意大利": "IT",
+    "澳大利亚": "AU", "中国": "CN", "巴西": "BR", "韩国": "KR", "荷兰": "NL", "波兰": "PL", "瑞典": "SE", "印度": "IN",
+}
+#: Spellings of one tag in several product lines.
+SYNONYMS = {
+    "产品包装品质": "包装品质", "产品包装外观": "包装外观", "产品包装完整性": "包装完整性", "噪音控制": "噪声控制", "标准螺丝接口": "标准螺纹接口",
+    "vlog(含生活记录）": "Vlog", "vlog(含生活记录)": "Vlog", "产品瑕疵": "整体质量", "产品成色": "整体质量", "产品质量": "整体质量", "产品部件": "产品组件",
+}
+#: What separates the parts of a product code, letters of Latin words, characters of scripts without spaces.
+CODE_SEPARATORS = r"[\s\x{2D}\x{AD}\x{2010}-\x{2015}\x{2212}\x{FE63}\x{FF0D}]+"
+LATIN_WORD = r"^[A-Za-z\x{C0}-\x{FF}]+$"
+CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+
+_BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+"
+_SPACE = f"^{_BLANKS}|{_BLANKS}$"
 
 
 def strip(c: Column) -> Column:
@@ -31,6 +42,7 @@ def fix_tail_repeat(c: Column) -> Column:
     """Drop what a truncated export repeats at the end.
 
     Text with CJK: the longest of 4 to 1 last characters that equal those before them, if more than that is left.
+    Where a word or letters go, the words left are joined by single blanks.
     Other text: the last word if it equals the one before (any case), else 3 to 1 last letters of an all-letter
     last word of more than 4 that equal those before them. Under 4 characters nothing is dropped.
     """
@@ -40,14 +52,15 @@ def fix_tail_repeat(c: Column) -> Column:
     cjk = s
     for k in (1, 2, 3, 4):  # the last branch built is tried first
         cjk = F.when((n > 2 * k) & (tail(s, k) == tail(s, k, k)), F.substring(s, F.lit(1), n - k)).otherwise(cjk)
-    words = F.split(s, r"\s+")
+    words = F.split(s, _BLANKS)
     last, before = F.element_at(words, -1), F.try_element_at(words, F.lit(-2))
-    twice = F.regexp_replace(s, r"\s+\S+$", "")
+    front = F.slice(words, F.lit(1), F.size(words) - 1)
     low, m = F.lower(last), F.length(last)
     cut = s
     for k in (1, 2, 3):
-        cut = F.when((m > 2 * k) & (tail(low, k) == tail(low, k, k)), F.substring(s, F.lit(1), n - k)).otherwise(cut)
-    latin = F.when((F.size(words) > 1) & (low == F.lower(before)), twice).when(last.rlike(r"^\p{L}+$") & (m > 4), cut).otherwise(s)
+        shorter = F.array_join(F.concat(front, F.array(F.substring(last, F.lit(1), m - k))), " ")
+        cut = F.when((m > 2 * k) & (tail(low, k) == tail(low, k, k)), shorter).otherwise(cut)
+    latin = F.when((F.size(words) > 1) & (low == F.lower(before)), F.array_join(front, " ")).when(last.rlike(LATIN_WORD) & (m > 4), cut).otherwise(s)
     return F.when(n < 4, s).when(s.rlike(CJK), cjk).otherwise(latin)
 
 
@@ -58,7 +71,7 @@ def parse_array(c: Column) -> Column:
 
 
 def normalize_code(c: Column) -> Column:
-    return F.nullif(F.upper(F.regexp_replace(c, r"[\s\x{2D}\x{AD}\x{2010}-\x{2015}\x{2212}\x{FE58}\x{FE63}\x{FF0D}]+", "")), F.lit(""))
+    return F.nullif(F.upper(F.regexp_replace(c, CODE_SEPARATORS, "")), F.lit(""))
 
 
 def clean_codes(c: Column) -> Column:
@@ -72,13 +85,18 @@ def first_value(c: Column) -> Column:
     return F.try_element_at(parse_array(c), F.lit(1))
 
 
+def scalar(c: Column) -> Column:
+    """A single value in brackets; null if nothing is in them."""
+    return F.nullif(strip(F.regexp_replace(strip(c), r"^[\[\]]+|[\[\]]+$", "")), F.lit(""))
+
+
 def country(c: Column) -> Column:
-    x = first_value(c)
+    x = strip(F.split_part(scalar(c), F.lit(","), F.lit(1)))
     known = F.element_at(F.create_map(*[v for k, w in COUNTRIES.items() for v in (F.lit(k), F.lit(w))]), x)
     return F.coalesce(known, F.when(F.length(x) <= 3, F.upper(x)).otherwise(x))
 
 
-def own_brand(c: Column, marker: str) -> Column:
+def own_brand(c: Column, marker: str = "本品") -> Column:
     """Null where nothing is named, else whether any value holds the marker."""
     parts = parse_array(c)
     return F.when(F.size(parts) > 0, F.exists(parts, lambda v: v.contains(marker)))
@@ -99,7 +117,7 @@ def tax_levels(path: Column) -> Column:
     return F.struct(*[part(i + 2).alias(x) for i, x in enumerate(("stage", "domain", "sub", "leaf"))])
 
 
-def synonym(c: Column, mapping: dict[str, str]) -> Column:
+def synonym(c: Column, mapping: dict[str, str] = SYNONYMS) -> Column:
     s = strip(c)
     return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv]), s), s) if mapping else s
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.unicode import bucket_value
+
 
 def blank_to_null(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -105,11 +107,6 @@ def lifecycle_buckets(pool: DataFrame) -> DataFrame:
     )
 
 
-def bucket_value(c: Column) -> Column:
-    """Folded topic for ASCII text; see functions.unicode for full folding."""
-    return F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-
-
 def low_star_rate(star: str) -> Column:
     stars = F.col(star)
     return F.round(F.avg(F.when(stars <= 2, 1.0).when(stars.isNotNull(), 0.0)), 4)

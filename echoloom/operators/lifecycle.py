@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
 from .core import by_spu
 
 STATUS_RANK = {"done": 4, "in_progress": 3, "considering": 2, "dismissed": 1}
@@ -70,21 +71,22 @@ def merge_direction(a: Column, b: Column, locked: Column) -> Column:
 
 
 def canonical(rows: DataFrame, depth: int = 20) -> DataFrame:
-    """(opp_id, root, state) along ``merged_into``: ``ok``, ``cycle`` or ``dangling``.
+    """(opp_id, root, state) along ``merged_into``: ``ok``, ``cycle`` (or more than ``depth`` steps) or ``dangling``.
 
     Pointer jumping: each round doubles the distance that is followed, so ``depth`` steps take a handful of joins.
-    A chain that has not ended after at least ``depth`` steps is a cycle (or too deep, which is treated alike).
+    Rounds are settled, as each one joins the last with itself. Only what fails has no root.
     """
-    links = rows.select("opp_id", F.coalesce("merged_into", "opp_id").alias("at"))
-    steps = 1
-    while steps < depth:
-        nxt = links.select(F.col("opp_id").alias("at"), F.col("at").alias("then"))
-        links = links.join(nxt, "at", "left").select("opp_id", F.coalesce("then", "at").alias("at"))
-        steps *= 2
+    links = settle(rows.select("opp_id", F.coalesce("merged_into", "opp_id").alias("at"), F.col("merged_into").isNotNull().cast("int").alias("steps")), "canonical")
+    reach = 1
+    while reach <= depth:
+        nxt = links.select(F.col("opp_id").alias("at"), F.col("at").alias("then"), F.col("steps").alias("more"))
+        links = settle(links.join(nxt, "at", "left").select("opp_id", F.coalesce("then", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "canonical")
+        reach *= 2
     ends = rows.select(F.col("opp_id").alias("at"), F.col("merged_into").isNull().alias("root"))
     out = links.join(ends, "at", "left")
-    state = F.when(F.col("root").isNull(), "dangling").when(F.col("root"), "ok").otherwise("cycle")
-    return out.select("opp_id", F.when(F.col("root"), F.col("at")).alias("root"), state.alias("state"))
+    good = F.coalesce("root", F.lit(False)) & (F.col("steps") <= depth)
+    state = F.when(F.col("root").isNull(), "dangling").when(good, "ok").otherwise("cycle")
+    return out.select("opp_id", F.when(good, F.col("at")).alias("root"), state.alias("state"))
 
 
 def merge_evidence(relation: DataFrame, merges: DataFrame) -> DataFrame:

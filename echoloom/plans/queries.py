@@ -13,6 +13,7 @@ from ..operators import core as C
 from ..operators import lifecycle as L
 from ..operators import vectors as X
 from ..sources.fixtures import evidence, message, oracle, policy, read
+from ..sources.settled import stored
 
 AS_OF = "2001-06-30"
 QUERIES: dict = {}
@@ -30,13 +31,17 @@ def query(sql: str | None = None, *more: str, plain: bool = False):
 
 
 def _pool(s: SparkSession, d: str) -> DataFrame:
-    return C.generation_pool(evidence(s, d), message(s, d), policy(s))
+    return stored(s, d, "pool", lambda: C.generation_pool(evidence(s, d), message(s, d), policy(s)))
 
 
 def _opp(s: SparkSession, d: str) -> DataFrame:
     return C.attached(_pool(s, d))
 
 
+def _by_spu(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, d, "by-spu", lambda: C.by_spu(_opp(s, d)))
+
+
 BY_SPU = "by_spu AS (SELECT DISTINCT opp_id, u.code AS spu, message_id, seq, attach_week, tax_path, publish_time FROM (SELECT opp_id, message_id, seq, attach_week, tax_path, publish_time, rule, unnest(spu) AS code FROM opp_evidence) u WHERE rule = 'R1')"
 ISSUES = "issues AS (SELECT spu, opp_id, count(*) AS evi_count, mode() WITHIN GROUP (ORDER BY tax_path) AS tax_path, min(attach_week) AS first_attach_week, max(attach_week) AS last_attach_week FROM by_spu GROUP BY ALL HAVING count(*) >= 2)"
 SPREAD = "spread AS (SELECT opp_id, count(*) AS spus, round(pow(sum(n), 2) / nullif(sum(n * n), 0), 6)::DOUBLE AS n_eff FROM (SELECT opp_id, spu, count(*) AS n FROM by_spu GROUP BY ALL) GROUP BY opp_id)"
@@ -310,21 +315,26 @@ def field_cleaning(s, d):
     return rows.select("doc_id", T.null_token(F.col("v")).alias("cleaned"), F.array_join(T.parse_array(F.col("v")), "|").alias("parts"), T.first_value(F.col("v")).alias("first_part"), F.array_join(c["spu"], "|").alias("codes"), F.size(c["spu_unmatched"]).cast("long").alias("unmatched"))
 
 
-@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, text) AS tags, list(left(text, 20) ORDER BY turn, text) AS snippets FROM conversations GROUP BY 1), x AS (SELECT conv_id, tags, snippets, unnest(range(1, len(tags) + 1)) AS i FROM m)
+@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, text) AS tags, list(text ORDER BY turn, text) AS snippets FROM conversations GROUP BY 1), x AS (SELECT conv_id, tags, snippets, unnest(range(1, len(tags) + 1)) AS i FROM m)
  SELECT conv_id, i - 1 AS seq, tags[i] AS tag, CASE WHEN i < len(tags) THEN upper(tags[i]) END AS sentiment, snippets[i] AS snippet, len(tags) > 0 AS misaligned FROM x""", plain=True)
 def evidence_explode(s, d):
     both = F.array_sort(F.collect_list(F.struct("turn", "text", "role")))
-    rows = read(s, d, "conversations").groupBy("conv_id").agg(both.alias("x")).select("conv_id", F.col("x.role").alias("tags"), F.transform("x", lambda v: F.substring(v["text"], 1, 20)).alias("snippets"))
+    rows = read(s, d, "conversations").groupBy("conv_id").agg(both.alias("x")).select("conv_id", F.col("x.role").alias("tags"), F.col("x.text").alias("snippets"))
     rows = rows.withColumn("sentiments", F.transform(F.slice("tags", F.lit(1), F.size("tags") - 1), F.upper))
     out = rows.select("conv_id", T.misaligned(F.col("tags"), F.col("sentiments")).alias("misaligned"), F.posexplode(T.triples(F.col("tags"), F.col("sentiments"), F.col("snippets"))).alias("seq", "t"))
     return out.select("conv_id", F.col("seq").cast("long").alias("seq"), F.col("t.tag").alias("tag"), F.col("t.sentiment").alias("sentiment"), F.col("t.snippet").alias("snippet"), "misaligned")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT (length(text) BETWEEN 60 AND 1200) THEN 'length' END, CASE WHEN regexp_matches(text, '(?i)maybe|perhaps|possibly|as appropriate|if necessary') THEN 'hedge' END, CASE WHEN regexp_matches(text, '(?i)\b(nation|france)\b') THEN 'country' END,
- CASE WHEN length(trim(left(text, 12), ' ')) < 8 THEN 'mode' END], lambda x: x IS NOT NULL), ',') AS errors FROM documents""", plain=True)
+_RULES = lambda words: "|".join(words)
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_filter([CASE WHEN NOT (length(t) BETWEEN 60 AND 1200) THEN 'length' END, CASE WHEN regexp_matches(t, '{_RULES(V.BANNED)}') THEN 'banned' END, CASE WHEN regexp_matches(t, '{V.COUNTRY_CLAIM}') THEN 'country' END,
+ CASE WHEN t = '' OR list_contains({list(V.GENERIC)!r}, t) OR list_contains({list(V.GENERIC)!r}, regexp_replace(t, '类+$', '')) OR length(t) < 8 THEN 'mode' END, CASE WHEN regexp_matches(t, '{V.LEAKS}') OR regexp_matches(t, '{V.ZERO_MORE}') THEN 'leak' END,
+ CASE WHEN NOT (length(t) BETWEEN 40 AND 320) OR regexp_matches(t, '{_RULES(V.HEDGES)}') OR regexp_matches(t, '{V.STANDARDS}') THEN 'suggestion' END, CASE WHEN NOT regexp_matches(t, '{V.TITLE}') THEN 'title' END], lambda x: x IS NOT NULL), ',') AS errors
+ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)""", plain=True)
 def text_validation(s, d):
     t = F.col("text")
-    checks = V.errors(length=F.length(t).between(60, 1200), hedge=~t.rlike(r"(?i)" + "|".join(V.HEDGES)), country=V.no_country(t, ["nation", "france"]), mode=V.specific(t))
+    checks = V.errors(length=V.phenomenon_length_ok(t), banned=F.size(V.banned_words(t)) == 0, country=F.size(V.country_claims(t)) == 0, mode=V.specific(t), leak=V.no_leak(t), suggestion=V.suggestion_ok(t), title=V.title_ok(t))
     return read(s, d, "documents").select("doc_id", F.array_join(checks, ",").alias("errors"))
 
 
@@ -344,9 +354,13 @@ def export_slices(s, d):
     return rows.groupBy("slice_start").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 40).alias("truncated"))
 
 
-@query()
+_FOLD = lambda x: rf"trim(regexp_replace(lower({x}), '[\s\-_—–/|，,。.;；:：()（）\[\]【】]+', ' ', 'g'), ' ')"
+
+
+@query(f"""SELECT opp_type, tag, mode, channel, 'OPP2-' || upper(left(sha256('{{' || CASE opp_type WHEN 'innovation' THEN '"channel":"' || {_FOLD('channel')} || '",' ELSE '' END || '"core_tag":"' || {_FOLD('tag')} || '","opp_type":"' || CASE opp_type WHEN 'innovation' THEN '新品创新' ELSE '老品迭代' END
+ || '","problem_mode":"' || {_FOLD('mode')} || '","version":2}}'), 32)) AS opp_id FROM (SELECT DISTINCT CASE rule WHEN 'R1' THEN 'existing_product' ELSE 'innovation' END AS opp_type, tag, tag || ' - ' || brand AS mode, channel FROM pool)""")
 def opportunity_identity(s, d):
-    """Stable ids from folded text: Unicode folding has no SQL form, so unit tests hold it."""
+    """Stable ids from folded text. The tables hold ASCII alone, which SQL can fold; unit tests hold the rest of Unicode."""
     from ..functions import unicode as U
 
     rows = _pool(s, d).select(C.opp_type(F.col("rule")).alias("opp_type"), "tag", F.concat_ws(" - ", "tag", "brand").alias("mode"), "channel").distinct()

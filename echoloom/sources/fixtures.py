@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .settled import stored
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """(message_id, seq): one tagged snippet of a message. The sequence is a window, as line numbers repeat."""
+    """(message_id, seq): one tagged snippet of a message; stored once per application, like ``message``."""
+    return stored(spark, d, "evidence", lambda: _evidence(spark, d))
+
+
+def message(spark: SparkSession, d: str) -> DataFrame:
+    """One review or post, with its source, stars, content types, brands and product codes (empty arrays where none)."""
+    return stored(spark, d, "message", lambda: _message(spark, d))
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    # The sequence is a window, as line numbers repeat.
     part = read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     rows = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -38,8 +50,7 @@ def src_line_of_order():
     return F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
 
 
-def message(spark: SparkSession, d: str) -> DataFrame:
-    """One review or post, with its source, stars, content types, brands and product codes (empty arrays where none)."""
+def _message(spark: SparkSession, d: str) -> DataFrame:
     commerce = src_line_of_order()
     base = (
         read(spark, d, "orders")
@@ -57,11 +68,10 @@ def message(spark: SparkSession, d: str) -> DataFrame:
             F.when(~commerce, F.floor("o_totalprice") % 500).alias("interactions"),
         )
     )
-    lines = evidence(spark, d).join(base.select("message_id", "src_line"), "message_id")
-    named = F.col("is_product") & (F.col("quantity") > F.when(F.col("src_line") == "commerce", 5).otherwise(45))
-    sets = lines.groupBy("message_id").agg(F.array_sort(F.collect_set("brand")).alias("brands"), F.array_sort(F.collect_set(F.when(named, F.col("code")))).alias("spu"))
+    codes = lambda least: F.array_sort(F.collect_set(F.when(F.col("is_product") & (F.col("quantity") > least), F.col("code"))))
+    sets = evidence(spark, d).groupBy("message_id").agg(F.array_sort(F.collect_set("brand")).alias("brands"), codes(5).alias("many"), codes(45).alias("few"))
     none = F.array().cast("array<string>")
-    return base.join(sets, "message_id", "left").withColumns({"brands": F.coalesce("brands", none), "spu": F.coalesce("spu", none)})
+    return base.join(sets, "message_id", "left").withColumn("spu", F.when(F.col("src_line") == "commerce", F.col("many")).otherwise(F.col("few"))).drop("many", "few").withColumns({"brands": F.coalesce("brands", none), "spu": F.coalesce("spu", none)})
 
 
 def policy(spark: SparkSession) -> DataFrame:

@@ -83,9 +83,29 @@ def test_cliques():
     assert name_of([0, 1], [{"x": [0, 1], "y": [2]}, {"x": [0]}]) == "x" and name_of([5], [{"x": [0]}]) == "unnamed"
 
 
+def test_cover_keeps_all(spark):
+    """Every node is in one group, groups are cliques of those left, the largest first."""
+    rng = random.Random(4)
+    for n in (1, 7, 30, 80):
+        edges = {p: 2 for p in combinations(range(n), 2) if rng.random() < 0.3}
+        groups = cover(list(range(n)), edges, largest=4)
+        assert sorted(v for g in groups for v in g) == list(range(n)) and max(map(len, groups)) <= 4
+        assert all(p in edges for g in groups for p in combinations(g, 2))
+    assert cover([3, 5], {}) == [[3], [5]]
+
+
+def test_canonical_depth(spark):
+    """Chains of up to twenty steps have a root; longer ones, cycles and loose ends have none."""
+    chain = [(f"a{i:02}", f"a{i + 1:02}" if i < 25 else None) for i in range(26)]
+    df = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "gone"), ("s", "s")], "opp_id string, merged_into string")
+    got = {r["opp_id"]: (r["root"], r["state"]) for r in L.canonical(df).collect()}
+    assert all(got[f"a{i:02}"] == (("a25", "ok") if 25 - i <= 20 else (None, "cycle")) for i in range(26))
+    assert got["x"] == got["y"] == got["s"] == (None, "cycle") and got["z"] == (None, "dangling")
+
+
 def test_clustered(spark):
     df = spark.createDataFrame([("b", 1, "red pump leaks"), ("b", 2, "red pump leaks"), ("b", 3, "blue"), ("c", 4, None), ("b", 5, "")], "bucket string, item long, t string")
-    assert rows(clustered(df, "bucket", "item", "t")) == [("b", 1, 0), ("b", 2, 0), ("b", 3, -1), ("b", 5, -1), ("c", 4, -1)]
+    assert rows(clustered(df, "bucket", "item", "t")) == [("b", 1, 0), ("b", 2, 0), ("b", 3, 1), ("b", 5, 2), ("c", 4, 0)]
     stars = spark.createDataFrame([("b", i, i % 3 or None) for i in range(120)], "bucket string, item long, star long")
     assert rows(batches(stars, "bucket", "item", "star").groupBy("batch").count()) == [(0, 50), (1, 50), (2, 20)]
 
