@@ -21,7 +21,7 @@ def repaired(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """A number told as text; null where it is none."""
-    return F.try_cast(T.strip(c), "double") if hasattr(F, "try_cast") else T.strip(c).try_cast("double")
+    return T.strip(c).try_cast("double")
 
 
 def to_message(raw: DataFrame, src_line: str | Column, batch: str, domain: list[str]) -> DataFrame:

@@ -384,3 +384,7 @@ def weekly_event_counts(s, d):
 
     out = weekly_counts(read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
     return out.withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
+
+
+# The other modules of queries register themselves here.
+from . import ingest as _ingest  # noqa: E402, F401
