@@ -388,3 +388,5 @@ def weekly_event_counts(s, d):
 
 # The other modules of queries register themselves here.
 from . import ingest as _ingest  # noqa: E402, F401
+from . import manage as _manage  # noqa: E402, F401
+from . import views as _views  # noqa: E402, F401
