@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .core import by_spu, ratio, size0, wilson
+from .rank import numbered
 
 STATUSES = ("considering", "in_progress", "done", "dismissed", "revived")
 #: Sort keys that callers may name, else the first; ties go by code.
@@ -28,8 +29,7 @@ def board_list(container: DataFrame, issues: DataFrame, opp_evidence: DataFrame,
     zero = F.lit(0).cast("long")
     rows = rows.select("spu", "category", "avg_star", "message_count", "issue_count", "evi_count", F.coalesce("recent_evi_count", zero).alias("recent_evi_count"), F.coalesce(ratio(F.col("negative_evi_count"), total), F.lit(0.0)).alias("negative_ratio"), F.round(wilson(F.coalesce("negative_evi_count", F.lit(0)), total), 6).alias("wilson"))
     key = {"wilson": F.desc("wilson"), "evidence": F.desc("evi_count"), "issues": F.desc("issue_count"), "star": F.asc_nulls_last("avg_star")}[sort]
-    ranked = rows.withColumn("rank", F.row_number().over(W.orderBy(key, "spu")).cast("long"))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return numbered(rows if limit is None else rows.orderBy(key, "spu").limit(limit), key, "spu")
 
 
 def status_tier(status: Column) -> Column:
@@ -158,4 +158,6 @@ def innovation_pool(opp_evidence: DataFrame) -> DataFrame:
     a = rows.groupBy("opp_id").agg(F.count(F.lit(1)).alias("evi_total"), F.min("attach_week").alias("first_week"), F.max("attach_week").alias("last_week"))
     b = rows.select("opp_id", "message_id", "interactions").distinct().groupBy("opp_id").agg(F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum(F.coalesce("interactions", F.lit(0))), F.lit(0)).alias("interactions"))
     c = rows.select("opp_id", F.explode("brands").alias("brand")).groupBy("opp_id").agg(F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("brands"))
-    return a.join(b, "opp_id").join(c, "opp_id", "left").withColumn("bar", F.round(100.0 * F.col("evi_total") / F.max("evi_total").over(W.partitionBy()), 2))
+    top = a.agg(F.max("evi_total").alias("_top"))
+    rows = a.join(b, "opp_id").join(c, "opp_id", "left").crossJoin(F.broadcast(top))
+    return rows.withColumn("bar", F.round(100.0 * F.col("evi_total") / F.col("_top"), 2)).drop("_top")

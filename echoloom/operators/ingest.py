@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .rank import numbered
 
 #: Branches of the taxonomy, the longest content kept, rows of an export that was cut off, days of retention.
 PRODUCT_BRANCH, SCENE_BRANCH = "产品体验", "用户群体&场景"
@@ -160,13 +160,9 @@ def quality_gates(weeks: DataFrame, evidence: DataFrame, reviewed: DataFrame) ->
 
 
 def scope_account(pool: DataFrame, bucket: list[str], most_buckets: int | None = None, most_rows: int | None = None) -> DataFrame:
-    """Buckets by falling size with whether a limit would leave them or some of their rows out; a run with any is refused.
-
-    Places are ranks among bucket sizes, a table of one row for each bucket.
-    """
+    """Buckets by falling size with whether a limit would leave them or some of their rows out; a run with any is refused."""
     sizes = pool.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.orderBy(F.desc("n"), *bucket))
-    out = sizes.withColumn("place", place)
+    out = numbered(sizes, F.desc("n"), *bucket, name="place")
     left = F.lit(False) if most_buckets is None else F.col("place") > most_buckets
     cut = F.lit(0).cast("long") if most_rows is None else F.greatest(F.col("n") - most_rows, F.lit(0)).cast("long")
     return out.withColumns({"left_out": left, "rows_cut": F.when(left, F.col("n")).otherwise(cut)})

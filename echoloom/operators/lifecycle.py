@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.settled import settle
 from .core import by_spu
+from .rank import numbered
 
 STATUS_RANK = {"done": 4, "in_progress": 3, "considering": 2, "dismissed": 1}
 
@@ -38,8 +39,7 @@ def revive_candidates(snapshot: DataFrame, events: DataFrame, pending: DataFrame
 
 def release(recounted: DataFrame, top: int = 50) -> DataFrame:
     """Released: several sources, or among the ``top`` of the rest by rank."""
-    place = F.row_number().over(W.orderBy(F.desc_nulls_last("rank_score"), "opp_id")).cast("long")
-    return recounted.withColumn("place", place).select("opp_id", "place", (F.col("dual_source") | (F.col("place") <= top)).alias("released"))
+    return numbered(recounted, F.desc_nulls_last("rank_score"), "opp_id", name="place").select("opp_id", "place", (F.col("dual_source") | (F.col("place") <= top)).alias("released"))
 
 
 def issue_revival(issues: DataFrame, manual: DataFrame, opp_evidence: DataFrame, factor: int = 3) -> DataFrame:

@@ -57,6 +57,44 @@ def nearest(vectors: DataFrame, k: int = 1, id_col: str = "vec_id", group_col: s
     return found.select(F.col("g").alias(group_col), F.col("id").alias(id_col), "neighbor_id", F.round("distance", 6).alias("distance"), "place")
 
 
+def pivots(vectors: DataFrame, count: int, id_col: str, vector_col: str) -> np.ndarray:
+    """At most ``count`` vectors, those with the smallest hash of their id: a fixed, bounded sample."""
+    rows = vectors.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(count).select(vector_col).collect()
+    return np.array([r[0] for r in rows], "float32")
+
+
+def nearest_in_cells(vectors: DataFrame, k: int = 1, cells: int = 64, probes: int = 4, id_col: str = "vec_id", group_col: str = "label", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """As ``nearest``, but each vector is compared only with those that share one of its ``probes`` nearest cells.
+
+    Cells belong to ``cells`` pivot vectors, a bounded sample that is sent to the tasks; every vector is placed and
+    compared, exactly within the cells. The work is nearest()'s divided by about cells / probes^2; a neighbour that
+    shares no cell is missed. The docs state the recall measured against ``nearest``.
+    """
+    sample = pivots(vectors, cells, id_col, vector_col)
+    if not len(sample):
+        return nearest(vectors, k, id_col, group_col, vector_col, block)
+    sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    take = min(probes, len(sample))
+
+    def place(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("v"))
+            v = np.stack(column.to_numpy(zero_copy_only=False)).astype("float32") if len(batch) else np.zeros((0, sample.shape[1]), "float32")
+            near = np.argsort(-(v @ sample.T), axis=1, kind="stable")[:, :take]
+            yield batch.append_column("cells", pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype="int32") * take), pa.array(near.astype("int32").ravel())))
+
+    kinds = dict(vectors.dtypes)
+    rows = vectors.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v IS NOT NULL")
+    placed = rows.mapInArrow(place, f"g {kinds[group_col]}, id {kinds[id_col]}, v {kinds[vector_col]}, cells array<int>")
+    dealt = placed.select("g", "id", "v", F.explode("cells").alias("cell")).select(F.concat_ws("/", F.col("g").cast("string"), F.col("cell").cast("string")).alias("cell"), "g", "id", "v")
+    found = nearest(dealt, k, "id", "cell", "v", block).select("cell", "id", "neighbor_id", "distance")
+    groups = dealt.select("cell", "g").distinct()
+    once = found.join(groups, "cell").groupBy("g", "id", "neighbor_id").agg(F.min("distance").alias("distance"))
+    order = W.partitionBy("g", "id").orderBy("distance", "neighbor_id")
+    out = once.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
+    return out.select(F.col("g").alias(group_col), F.col("id").alias(id_col), "neighbor_id", "distance", "place")
+
+
 def distance_histogram(neighbours: DataFrame) -> DataFrame:
     """Items by distance to their nearest neighbour, in fixed bins."""
     d = F.col("distance")

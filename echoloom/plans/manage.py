@@ -10,8 +10,8 @@ from ..operators import manage as M
 from ..operators.lifecycle import canonical
 from ..operators.write import audit, locked_update, moved_sources, upsert
 from ..sources.fixtures import read
-from .queries import BY_SPU, ISSUES, RECOUNT, _opp, _pool, query
-from .views import OPPS, OWNERS, _issues, _opps, _owners
+from .queries import BY_SPU, ISSUES, RECOUNT, _candidates, _issues, _opp, _pool, query
+from .views import OPPS, OWNERS, _opps, _owners
 
 CHAIN = """chain AS (SELECT opp_id, CASE WHEN n % 4 = 0 THEN lead(opp_id) OVER (ORDER BY opp_id) WHEN n % 11 = 1 THEN 'gone' END AS merged_into, safety FROM opps),
  walk AS (SELECT opp_id, opp_id AS here, merged_into AS nxt, 0 AS steps FROM chain UNION ALL SELECT w.opp_id, c.opp_id, c.merged_into, steps + 1 FROM walk w JOIN chain c ON c.opp_id = w.nxt WHERE steps < 30),
@@ -135,10 +135,8 @@ def bucket_context(s, d):
 
 @query("""SELECT tag, a.n AS expected, b.n AS actual FROM (SELECT tag, count(*) AS n FROM candidates WHERE tag < 'S' GROUP BY 1) a FULL JOIN (SELECT tag, count(*) AS n FROM pool WHERE tag > 'E' GROUP BY 1) b USING (tag) WHERE a.n IS DISTINCT FROM b.n""")
 def expected_against_actual(s, d):
-    from ..sources.fixtures import evidence, message, policy
-
     count = lambda df: df.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    planned = C.pool_candidates(evidence(s, d), message(s, d), policy(s)).where("tag < 'S'")
+    planned = _candidates(s, d).where("tag < 'S'")
     return M.expected_against_actual(count(planned), count(_pool(s, d).where("tag > 'E'")), ["tag"])
 
 
@@ -152,9 +150,7 @@ def model_costs(s, d):
 @query("""SELECT 'missing' AS kind, count(*) AS n FROM (SELECT message_id, seq FROM pool EXCEPT SELECT message_id, seq FROM candidates WHERE message_id % 3 > 0) UNION ALL SELECT 'beyond', count(*) FROM (SELECT message_id, seq FROM candidates WHERE message_id % 3 > 0 EXCEPT SELECT message_id, seq FROM pool)
  UNION ALL SELECT 'twice', 0""")
 def row_account(s, d):
-    from ..sources.fixtures import evidence, message, policy
-
-    done = C.pool_candidates(evidence(s, d), message(s, d), policy(s)).where("message_id % 3 > 0")
+    done = _candidates(s, d).where("message_id % 3 > 0")
     return M.account_rows(_pool(s, d), done, ["message_id", "seq"])
 
 

@@ -38,6 +38,18 @@ def _opp(s: SparkSession, d: str) -> DataFrame:
     return C.attached(_pool(s, d))
 
 
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, d, "candidates", lambda: C.pool_candidates(evidence(s, d), message(s, d), policy(s)))
+
+
+def _issues(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, d, "issues", lambda: C.spu_issue(_opp(s, d)))
+
+
+def _container(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, d, "container", lambda: C.spu_container(message(s, d), evidence(s, d)))
+
+
 def _by_spu(s: SparkSession, d: str) -> DataFrame:
     return stored(s, d, "by-spu", lambda: C.by_spu(_opp(s, d)))
 
@@ -71,7 +83,7 @@ def generation_pool_window(s, d):
 
 @query("SELECT tag, r AS rule, CASE r WHEN 'R1' THEN 'existing_product' WHEN 'R2' THEN 'innovation' END AS opp_type, CASE WHEN r = 'R3' THEN 'invalid' ELSE 'valid' END AS state, false AS unknown_policy FROM (SELECT tag || brand || size AS tag, CASE WHEN bool_or(len(spu) > 0) THEN 'R1' WHEN bool_or(NOT requires_spu) THEN 'R2' ELSE 'R3' END AS r FROM candidates GROUP BY 1)")
 def classification(s, d):
-    rows = C.pool_candidates(evidence(s, d), message(s, d), policy(s)).withColumn("tag", F.concat("tag", "brand", F.col("size").cast("string")))
+    rows = _candidates(s, d).withColumn("tag", F.concat("tag", "brand", F.col("size").cast("string")))
     return C.classify(rows, "tag")
 
 
@@ -88,12 +100,12 @@ def recount(s, d):
 
 @query("SELECT * FROM container", CONTAINER)
 def spu_container(s, d):
-    return C.spu_container(message(s, d), evidence(s, d))
+    return _container(s, d)
 
 
 @query("SELECT * FROM issues", BY_SPU, ISSUES)
 def spu_issue(s, d):
-    return C.spu_issue(_opp(s, d))
+    return _issues(s, d)
 
 
 @query(f"SELECT *, {SCOPE} FROM spread", BY_SPU, SPREAD)
@@ -115,14 +127,14 @@ def line_spread(s, d):
  LEFT JOIN (SELECT spu, count(*) AS recent_evi_count FROM by_spu WHERE publish_time >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY AND publish_time <= TIMESTAMP '{AS_OF}' GROUP BY spu) USING (spu))""", BY_SPU, ISSUES, CONTAINER)
 def board_list(s, d):
     opp = _opp(s, d)
-    return B.board_list(C.spu_container(message(s, d), evidence(s, d)), C.spu_issue(opp), opp, AS_OF)
+    return B.board_list(_container(s, d), _issues(s, d), opp, AS_OF)
 
 
 @query(f"""SELECT spu, opp_id, evi_count, status, n_eff, {SCOPE}, row_number() OVER (PARTITION BY spu ORDER BY CASE WHEN status = 'revived' THEN 0 WHEN status IN ('done', 'dismissed') THEN 2 ELSE 1 END, evi_count DESC, opp_id) AS place
  FROM (SELECT i.spu, i.opp_id, i.evi_count, coalesce(status, 'considering') AS status, n_eff FROM issues i LEFT JOIN spread USING (opp_id) LEFT JOIN manual m ON m.spu = i.spu AND m.opp_id = i.opp_id)""", BY_SPU, ISSUES, SPREAD, MANUAL)
 def board_issues(s, d):
     opp = _opp(s, d)
-    issues = C.spu_issue(opp)
+    issues = _issues(s, d)
     return B.board_issues(issues, C.spread(opp), B.manual_status(issues))
 
 
@@ -134,7 +146,7 @@ def tag_facets(s, d):
 
 @query("SELECT category, count(*) AS n FROM container WHERE category IS NOT NULL GROUP BY 1 UNION ALL SELECT '__all__', count(*) FROM container", CONTAINER)
 def category_facets(s, d):
-    return B.category_facets(C.spu_container(message(s, d), evidence(s, d)))
+    return B.category_facets(_container(s, d))
 
 
 @query("SELECT bin::BIGINT AS bin, label, count(opp_id) AS n, round(100.0::DOUBLE * count(opp_id) / sum(count(opp_id)) OVER (), 2) AS share FROM (VALUES (0, '1-2', 1, 2), (1, '3-5', 3, 5), (2, '6-10', 6, 10), (3, '11-100', 11, 100), (4, '101+', 101, 1000000000)) g(bin, label, lo, hi) LEFT JOIN recounted ON evi_total BETWEEN lo AND hi GROUP BY 1, 2", RECOUNT)
@@ -145,7 +157,7 @@ def evidence_histogram(s, d):
 @query("""SELECT stage::BIGINT AS stage, name, n, round(100 * n / lag(n) OVER (ORDER BY stage)::DOUBLE, 2) AS retention FROM (SELECT 1 AS stage, 'messages' AS name, count(*) AS n FROM message UNION ALL SELECT 2, 'evidence', count(*) FROM evidence
  UNION ALL SELECT 3, 'candidates', count(*) FROM candidates UNION ALL SELECT 4, 'pool', count(*) FROM pool UNION ALL SELECT 5, 'opportunities', count(DISTINCT opp_id) FROM opp_evidence)""")
 def coverage_funnel(s, d):
-    return B.coverage_funnel(message(s, d), evidence(s, d), C.pool_candidates(evidence(s, d), message(s, d), policy(s)), _opp(s, d))
+    return B.coverage_funnel(message(s, d), evidence(s, d), _candidates(s, d), _opp(s, d))
 
 
 @query("""SELECT src_line, country, messages, coalesce(pool_rows, 0) AS pool_rows, coalesce(opportunities, 0) AS opportunities, coalesce(covered, 0) AS covered, round(100 * coalesce(covered, 0) / messages::DOUBLE, 1) AS conversion
@@ -156,14 +168,14 @@ def coverage_by_source(s, d):
 
 @query("SELECT count(*) AS n, count(*) FILTER (product_experience AND user_experience) AS both_experience, count(*) FILTER (comparison AND gap) AS comparison_and_gap, count(*) FILTER (product_experience AND NOT low_conf) AS confident, count(*) FILTER (low_conf) AS low_conf, count(*) FILTER (len(spu) = 0) AS without_spu FROM candidates")
 def pool_quality(s, d):
-    return B.pool_quality(C.pool_candidates(evidence(s, d), message(s, d), policy(s)))
+    return B.pool_quality(_candidates(s, d))
 
 
 @query("SELECT (SELECT count(*) FROM container) AS spus, (SELECT count(*) FROM issues) AS issues, (SELECT count(*) FROM manual WHERE status = 'revived') AS revived, (SELECT count(*) FROM manual WHERE status = 'in_progress') AS in_progress, (SELECT count(*) FROM recounted WHERE weak_evidence) AS weak", BY_SPU, ISSUES, MANUAL, CONTAINER, RECOUNT)
 def sidebar_counts(s, d):
     opp = _opp(s, d)
-    issues = C.spu_issue(opp)
-    return B.sidebar_counts(C.spu_container(message(s, d), evidence(s, d)), issues, B.manual_status(issues), C.recount(opp))
+    issues = _issues(s, d)
+    return B.sidebar_counts(_container(s, d), issues, B.manual_status(issues), C.recount(opp))
 
 
 @query("""SELECT attach_week, sum(n)::BIGINT AS evidence, count(*) AS opportunities, count(*) FILTER (is_new) AS new_opportunities, count(*) FILTER (sources > 1) AS dual_source, (sum(n) - lag(sum(n)) OVER (ORDER BY attach_week))::BIGINT AS change
@@ -174,12 +186,12 @@ def weekly_metrics(s, d):
 
 @query("SELECT spu, category, message_count FROM container WHERE (spu ILIKE '%p1%' OR len(list_filter(string_split(countries, ','), lambda x: x ILIKE '%p1%')) > 0) AND spu IN (SELECT spu FROM issues WHERE split_part(tax_path, '/', 2) = 'ECONOMY')", BY_SPU, ISSUES, CONTAINER)
 def product_search(s, d):
-    return B.search_products(C.spu_container(message(s, d), evidence(s, d)), C.spu_issue(_opp(s, d)), keyword="p1", tag="ECONOMY")
+    return B.search_products(_container(s, d), _issues(s, d), keyword="p1", tag="ECONOMY")
 
 
 @query("""SELECT spu, round(r, 6) AS negative_ratio, message_count, m.* FROM (SELECT *, negative_evi_count / nullif(negative_evi_count + positive_evi_count, 0)::DOUBLE AS r FROM container), (SELECT round(median(negative_evi_count / nullif(negative_evi_count + positive_evi_count, 0)::DOUBLE), 6) AS median_ratio, round(median(message_count), 6) AS median_messages, round(median(avg_star), 6) AS median_star FROM container) m""", CONTAINER)
 def spu_medians(s, d):
-    return B.spu_medians(C.spu_container(message(s, d), evidence(s, d)))
+    return B.spu_medians(_container(s, d))
 
 
 @query("SELECT spu, opp_id, place, message_id, seq, evidence_text FROM (SELECT *, row_number() OVER (PARTITION BY spu, opp_id ORDER BY publish_time DESC, message_id, seq) AS place FROM (SELECT opp_id, message_id, seq, publish_time, evidence_text, unnest(spu) AS spu FROM opp_evidence WHERE rule = 'R1')) WHERE place <= 3")
@@ -233,7 +245,7 @@ def release_policy(s, d):
  UNION ALL SELECT spu, opp_id, 'feedback', count(*) FROM by_spu JOIN manual USING (spu, opp_id) WHERE status = 'done' AND publish_time::DATE > release_date GROUP BY 1, 2""", BY_SPU, ISSUES, MANUAL)
 def issue_revival(s, d):
     opp = _opp(s, d)
-    issues = C.spu_issue(opp)
+    issues = _issues(s, d)
     return L.issue_revival(issues, B.manual_status(issues), opp)
 
 

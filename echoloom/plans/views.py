@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import board as B
 from ..operators import core as C
 from ..operators import views as V
 from ..sources.fixtures import evidence, message, read
 from ..sources.settled import stored
-from .queries import AS_OF, BY_SPU, CONTAINER, ISSUES, MANUAL, _by_spu, _opp, _pool, query
+from ..operators.rank import numbered
+from .queries import AS_OF, BY_SPU, CONTAINER, ISSUES, _by_spu, _container, _issues, _opp, _pool, query
 
 #: Opportunities with flags made from their names and counts, for DuckDB.
 OPPS = """opps AS (SELECT opp_id, CASE WHEN bool_or(rule = 'R1') THEN 'existing_product' ELSE 'innovation' END AS opp_type, count(*) AS n, CASE WHEN length(opp_id) % 7 = 0 THEN 'invalid' ELSE 'valid' END AS state,
@@ -42,10 +42,6 @@ def _owners(s, d):
     return _opps(s, d).where("n % 5 > 0").select("opp_id", F.get(F.array(*map(F.lit, ("considering", "in_progress", "project", "done"))), (F.col("n") % 4).cast("int")).alias("status"), F.col("updated_at").alias("status_at"))
 
 
-def _issues(s, d):
-    return stored(s, d, "issues", lambda: C.spu_issue(_opp(s, d)))
-
-
 def _human(s, d):
     n = F.length("spu") + F.length("opp_id")
     own = _issues(s, d).where(n % 6 > 0).select("spu", "opp_id", F.get(F.array(*map(F.lit, V.STATUSES[:5])), n % 5).alias("status"), F.lit(7).cast("long").alias("baseline"))
@@ -53,10 +49,6 @@ def _human(s, d):
     return own.unionByName(old)
 
 
-def _container(s, d):
-    return stored(s, d, "container", lambda: C.spu_container(message(s, d), evidence(s, d)))
-
-
 def _named(s, d):
     return _container(s, d).withColumns({"names": F.array(F.concat(F.lit("Name "), "spu")), "skus": F.array(F.concat("spu", F.lit("-a")), F.lit(None).cast("string"))})
 
@@ -202,8 +194,6 @@ def board_sorts(s, d):
     rows = _container(s, d).withColumns({"grade": F.when(F.length("spu") == 2, F.get(F.array(*map(F.lit, ("B级", "PS", "x", "A"))), (n % 4).cast("int"))), "negative_ratio": F.coalesce(C.ratio(F.col("negative_evi_count"), F.col("negative_evi_count") + F.col("positive_evi_count"), 6), F.lit(0.0)), "issue_count": n % 5})
     out = None
     for name, key, down in (("ratio", "ratio", True), ("messages", "messages", False), ("issues", "issues", True), ("star", "star", False), ("grade", "grade", True), ("grade up", "grade", False), ("unknown", "nonsense", True)):
-        # The sorted page is a list of products: its places come from one array, the product table being small.
-        page = V.sorted_board(rows, key, down).select("spu").coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
-        part = page.select(F.lit(name).alias("sort"), "spu", "place")
+        part = numbered(rows, *V.board_order(key, down), name="place").select(F.lit(name).alias("sort"), "spu", "place")
         out = part if out is None else out.unionByName(part)
     return out

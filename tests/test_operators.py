@@ -146,3 +146,26 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(120)
     batch = weekly_counts(spark.read.parquet(events).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
     assert rows(spark.table("weekly")) == rows(batch)
+
+
+def test_numbered(spark):
+    from echoloom.operators.rank import numbered
+
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1009).alias("x"), "id")
+    got = [r["x"] for r in numbered(df, F.desc("x"), "id").orderBy("rank").collect()]
+    assert got == sorted(got, reverse=True) and [r[0] for r in numbered(df, "x").select("rank").orderBy("rank").collect()] == list(range(1, 1001))
+    assert numbered(df.limit(0), "x").count() == 0
+
+
+def test_cells_recall(spark):
+    """Neighbours found in cells, against all pairs, on the vectors of sf0.1."""
+    from echoloom.operators.vectors import nearest_in_cells
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    exact = {(r["vec_id"], r["neighbor_id"]) for r in nearest(df).collect()}
+    found = {(r["vec_id"], r["neighbor_id"]) for r in nearest_in_cells(df, cells=16, probes=6).collect()}
+    recall = len(exact & found) / len(exact)
+    print("recall in cells", recall)
+    assert recall >= 0.9 and len(found) == len(exact)
+    all_cells = nearest_in_cells(df.limit(300), k=3, cells=4, probes=4)
+    assert rows(all_cells) == rows(nearest(df.limit(300), k=3))
