@@ -3,35 +3,65 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CAP, DEPTH = 5000, 4
 
 
+@dataclass(frozen=True)
+class Source:
+    """A registered export: its source line, kind of query, tag filter and days of a slice."""
+
+    src_line: str
+    query_type: str
+    tag_filter: str | None
+    slice_days: int
+
+
+SOURCES = (Source("commerce", "review", None, 30), Source("social", "post", "dewater", 15))
+
+
 def slices(start: datetime, end: datetime, days: int) -> list[tuple[datetime, datetime]]:
-    out, at = [], start
-    while at < end:
-        out.append((at, min(end, at + timedelta(days=days))))
-        at = out[-1][1]
-    return out
-
-
-def plan(start: datetime, end: datetime, days: int, count: Callable[[datetime, datetime], int], cap: int = CAP, depth: int = DEPTH) -> list[tuple[datetime, datetime]]:
-    """Slices under the cap, in order. A slice at the cap is truncated, so it is halved; at most ``depth`` times, then it fails."""
-    done, todo = [], [(a, b, 0) for a, b in reversed(slices(start, end, days))]
-    while todo:
-        a, b, level = todo.pop()
-        if count(a, b) < cap:
-            done.append((a, b))
-        elif level == depth:
+    step = timedelta(days=days)
+    count = max(0, -(-(end - start) // step))
+    return [(start + i * step, min(end, start + (i + 1) * step)) for i in range(count)]
+
+
+def slice_grid(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
+    """(slice_start, slice_end), half-open, as a table."""
+    first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    starts = F.when(first < last, F.sequence(first, F.greatest(first, last - F.expr("INTERVAL 1 MICROSECOND")), F.make_dt_interval(F.lit(days))))
+    grid = spark.range(1).select(F.explode(starts).alias("slice_start"))
+    return grid.select("slice_start", F.least(F.col("slice_start") + F.make_dt_interval(F.lit(days)), last).alias("slice_end"))
+
+
+def plan(start: datetime, end: datetime, days: int, count: Callable[[datetime, datetime], int], cap: int = CAP, depth: int = DEPTH, incremental: bool = False) -> list[tuple[datetime, datetime]]:
+    """Slices under the cap, in order. A slice at the cap is truncated, so it is halved; at most ``depth`` times, then it fails.
+
+    A whole slice without rows is an error in ``incremental`` mode, where it cannot be told from a broken export.
+    """
+    def halved(a: datetime, b: datetime, level: int) -> list[tuple[datetime, datetime]]:
+        n = count(a, b)
+        if n == 0 and level == 0 and incremental:
+            raise RuntimeError(f"no rows from {a} to {b}")
+        if n < cap:
+            return [(a, b)]
+        if level == depth:
             raise RuntimeError(f"{a} to {b} is still truncated after {depth} halvings")
-        else:
-            mid = a + (b - a) / 2
-            todo += [(mid, b, level + 1), (a, mid, level + 1)]
-    return done
+        mid = a + (b - a) / 2
+        return halved(a, mid, level + 1) + halved(mid, b, level + 1)
+
+    return [part for a, b in slices(start, end, days) for part in halved(a, b, 0)]
+
+
+def read_window(parts: list[tuple[datetime, datetime]], load: Callable[[datetime, datetime], DataFrame]) -> DataFrame:
+    """The rows of all slices of a window, by column name."""
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [load(a, b) for a, b in parts])
 
 
 def slice_of(t: Column, start: str, days: int) -> Column:
