@@ -89,6 +89,27 @@ def classify(rows: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, "rule", opp_type(F.col("rule")).alias("opp_type"), classification_state(F.col("rule")).alias("state"), "unknown_policy")
 
 
+def checked_policy(rows: DataFrame) -> DataFrame:
+    """``rows``, unless a row's source has no policy: that is an error even where another row would decide."""
+    missing = F.raise_error(F.concat(F.lit("no policy for source "), F.coalesce("src_line", F.lit("null")))).cast("boolean")
+    return rows.withColumn("requires_spu", F.coalesce("requires_spu", missing))
+
+
+def classify_all(keys: DataFrame, rows: DataFrame, *by: str) -> DataFrame:
+    """As ``classify``, with a row for every key: R0, invalid and without a type, where a key has no rows at all."""
+    found = classify(checked_policy(rows), *by).drop("unknown_policy")
+    out = keys.select(*by).distinct().join(found, list(by), "left")
+    return out.withColumns({"rule": F.coalesce("rule", F.lit("R0")), "state": F.coalesce("state", F.lit("invalid"))})
+
+
+def lifecycle_routing(candidates: DataFrame) -> DataFrame:
+    """Candidates by lifecycle, the rows that need a product and have none in a set of their own (invalid)."""
+    old, bad = F.col("rule") == "R1", F.col("rule") == "R3"
+    topic = F.when(old, bucket_value(F.col("tag"))).otherwise(bucket_value(F.col("content_branch")))
+    keyed = candidates.select(opp_type(F.col("rule")).alias("opp_type"), F.when(~bad, topic).alias("topic"), F.when(~old & ~bad, F.col("channel")).alias("channel"), classification_state(F.col("rule")).alias("state"))
+    return keyed.groupBy("opp_type", "topic", "channel", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lifecycle_buckets(pool: DataFrame) -> DataFrame:
     """Pool rows by lifecycle: existing products by tag, innovation by branch and channel, with the bucket's context."""
     old = F.col("rule") == "R1"
