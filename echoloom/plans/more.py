@@ -11,7 +11,7 @@ from ..operators import vectors as X
 from ..operators.resolve import resolve, same_by_cosine
 from ..operators.write import reconcile
 from ..sources.fixtures import evidence, message, read
-from .queries import AS_OF, BY_SPU, CONTAINER, ISSUES, MANUAL, SPREAD, _candidates, _container, _issues, _opp, _pool, query
+from .queries import AS_OF, BY_SPU, CONTAINER, ISSUES, MANUAL, SPREAD, _candidates, _container, _issues, _opp, query
 
 
 @query("""SELECT CASE WHEN rule = 'R1' THEN 'existing_product' WHEN rule = 'R2' THEN 'innovation' END AS opp_type, CASE rule WHEN 'R1' THEN lower(tag) WHEN 'R2' THEN content_branch END AS topic, CASE WHEN rule = 'R2' THEN channel END AS channel,
