@@ -20,29 +20,42 @@ from echoloom.llm.toxicity import score, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the severity model, fitted on ``labels``, calls toxic. A null text is not toxic."""
+    """Without the documents that the severity model, fitted on ``labels``, calls toxic.
+
+    A null text is not toxic. Equal rows are judged alike, so all of them stay or all go; no ties arise.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).where(~F.col("toxic")).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows removed. n_chars follows the text; emptied documents stay."""
+    """Later occurrences of three-line windows removed. n_chars follows the text; emptied documents stay.
+
+    Of equal windows the one with the smallest (id, line) is first; of rows with equal id and text one keeps its lines.
+    """
     out = line_dedup(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of documents with five-word shingle similarity of 0.8 or more."""
+    """One document of each component of documents with five-word shingle similarity of 0.8 or more.
+
+    The one with the smallest id stays; of rows that share it, that with the smallest key of its text, and of rows equal
+    in both one. Documents without words all stay.
+    """
     return keep_one(docs, size=5, percent=80).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a ten-word window of a ``benchmark`` item."""
+    """Without the documents that hold a ten-word window of a ``benchmark`` item.
+
+    Equal rows go together. Null and empty texts stay; an empty benchmark drops nothing.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each token of the remaining documents goes."""
+    """Where each token of the remaining documents goes. Equal rows are packed each; ties among pieces go by id and place."""
     return pack(docs)
 
 
