@@ -60,6 +60,11 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str, rows: int = BRO
     return big.join(small.hint("merge"), on, how)
 
 
+def join_shuffled(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
+    """Join to a relation that grows with the corpus: by shuffle at every size (skewed keys are split by AQE)."""
+    return big.join(small.hint("merge"), on, how)
+
+
 def unclashed(df: DataFrame, *names: str) -> None:
     """Raise where a table already has a column that an operator is about to add."""
     taken = [n for n in names if n.lower() in {c.lower() for c in df.columns}]

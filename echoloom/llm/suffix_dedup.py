@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, join_checked, settle, whole
+from .common import is_small, join_checked, join_shuffled, settle, whole
 
 LENGTH = 200
 #: Bytes of an anchor. Of each string of LENGTH bytes, the anchor is the run of GRAM bytes with the smallest hash.
@@ -261,7 +261,7 @@ def _hot_spans(contexts: DataFrame, length: int, first: int = FIRST) -> DataFram
 
     def deal(rows: DataFrame, by: list[str]) -> DataFrame:
         named = settle(rows.groupBy(*by).count().where("count > 1").select(*by, F.monotonically_increasing_id().alias("bucket_")), "hot-buckets")
-        return settle(join_checked(rows, named, by, "inner").select("context", "pos", F.col("bucket_").alias("bucket")), "hot-positions")
+        return settle(join_shuffled(rows, named, by, "inner").select("context", "pos", F.col("bucket_").alias("bucket")), "hot-positions")
 
     rows = settle(contexts.select("context", "bytes").mapInArrow(lambda b: first_buckets(b, first), "context long, pos long, g1 long, g2 long"), "hot-grams")
     rows, depth = deal(rows, ["g1", "g2"]), first
@@ -285,11 +285,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(*_keys(id_col, text_col), whole(F.col(text_col)).alias("text"))
     spots = settle(source.mapInArrow(lambda b: find_spots(b, length, gram), _SPOTS), "suffix-spots")
     common = settle(spots.groupBy("akey").count().where("count > 1").select("akey"), "suffix-anchors")
-    spots = settle(join_checked(spots, common, "akey", "left_semi"), "suffix-common")
+    spots = settle(join_shuffled(spots, common, "akey", "left_semi"), "suffix-common")
     # First of a group in one scan order: all three are of one row.
     runs = settle(spots.groupBy("akey", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("length").alias("length")), "suffix-runs")
     several = settle(runs.groupBy("akey").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "suffix-several")
-    border = settle(join_checked(runs, several, "akey", "inner"), "suffix-border")
+    border = settle(join_shuffled(runs, several, "akey", "inner"), "suffix-border")
 
     wanted = border.groupBy("k1", "k2").agg(F.collect_list(F.struct("akey", "c1", "c2", "start", "length")).alias("spots"))
     named = settle(border.select("k1", "k2").distinct(), "suffix-named")
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Runs that occur twice come last and whole.
     twice = runs.where("n > 1").select("akey", "c1", "c2", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("length").alias("e"))).alias("spans"))
     covered = settle(spans.unionByName(twice), "suffix-spans")
-    placed = join_checked(spots, covered, ["akey", "c1", "c2"], "inner").select("k1", "k2", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
+    placed = join_shuffled(spots, covered, ["akey", "c1", "c2"], "inner").select("k1", "k2", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
     return settle(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-covered")
 
 
