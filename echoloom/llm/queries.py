@@ -14,9 +14,13 @@ from .licenses import CONTAINMENT, PHRASES, STRIDE, TEMPLATES, license_scan
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
 from .packing import pack
+from .simhash import simhash_duplicates
 from .suffix_dedup import LENGTH, suffix_dedup
 from .toxicity import score, train
 from .url_filter import RULES, rule_index, url_filter
+from .vector_codes import ENTRIES, PARTS, ROUNDS, vector_codes
+from .whitening import whitened
+from .whole_vectors import SCALE
 
 ALNUM_SQL = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % (UPPER, LOWER)
 
@@ -203,6 +207,43 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked AND NOT allowe
 FROM v LEFT JOIN votes USING (alias)"""
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where 63 bits do not hold it (some three million rows of this spread); exact_deviation always does."""
+    found = whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumns({"exact_deviation": F.col("deviation"), "deviation": F.col("deviation").try_cast("long")})
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _op12_sql() -> str:
+    nearest = """a{n} AS MATERIALIZED (SELECT r, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+        SELECT r, part, e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{n} b USING (part)) GROUP BY r, part)"""
+    # Sums and counts stay far under 2^53, so the quotient's floor is exact.
+    update = """b{m} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN (SELECT part, e, list(q ORDER BY i) AS x FROM (
+        SELECT part, e, i, floor(sum(p.x[i]) / count(*))::BIGINT AS q FROM p JOIN a{n} USING (r, part), (SELECT unnest(range(1, max(len(x)) + 1)) AS i FROM p) GROUP BY part, e, i) GROUP BY part, e) m USING (part, e))"""
+    rounds = [nearest.format(n=0)]
+    for n in range(ROUNDS):
+        rounds += [update.format(n=n, m=n + 1), nearest.format(n=n + 1)]
+    last = ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, x, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+p AS MATERIALIZED (SELECT r, part, x[part * len(x) // {PARTS} + 1 : (part + 1) * len(x) // {PARTS}] AS x FROM v, (SELECT unnest(range({PARTS})) AS part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, x FROM p WHERE r <= {ENTRIES}),
+{", ".join(rounds)},
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{last}),
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (r), s"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -214,6 +255,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_merkle_audit": op9_merkle_audit,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash": op13_simhash,
 }
 ORACLE_SQL = {
     "op1_license_scan": _op1_sql(),
@@ -223,4 +267,5 @@ ORACLE_SQL = {
     "op7_line_dedup": OP7_SQL,
     "op9_merkle_audit": OP9_SQL,
     "op10_url_filter": _op10_sql(),
+    "op12_vector_codes": _op12_sql(),
 }
