@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
+from .core import opp_type, rule_of, size0
+from .neighbour_index import build, other_tag, search, standard
 from .vectors import adaptive_k, cosine
 
 
@@ -39,12 +42,49 @@ def resolve(new: DataFrame, known: DataFrame, judge: Callable[[Column], Column]
     return rows.select("id", F.when(create, "create").otherwise("attach").alias("action"), F.when(~create, F.col("best.opp_id")).alias("opp_id"), F.coalesce(F.when(create, F.col("all")).otherwise(F.array_remove("all", F.col("best.opp_id"))), F.array().cast("array<string>")).alias("proposals"))
 
 
-def cross_source(known: DataFrame, neighbours: DataFrame, relation: DataFrame, cap: int = 40) -> DataFrame:
-    """Evidence of near items from other sources that an item lacks: at most ``cap`` rows an item, nearest first."""
-    near = neighbours.join(known.select("opp_id", "opp_type"), "opp_id").join(known.select(F.col("opp_id").alias("neighbor_id"), F.col("opp_type").alias("other")), "neighbor_id").where("opp_type = other")
-    rows = near.join(relation.select(F.col("opp_id").alias("neighbor_id"), "message_id", "seq", "src_line"), "neighbor_id")
-    own = relation.select("opp_id", "src_line").distinct()
-    rows = rows.join(own, ["opp_id", "src_line"], "left_anti").join(relation.select("opp_id", "message_id", "seq"), ["opp_id", "message_id", "seq"], "left_anti")
-    once = rows.groupBy("opp_id", "message_id", "seq").agg(F.min("distance").alias("distance"))
-    place = F.row_number().over(W.partitionBy("opp_id").orderBy("distance", "message_id", "seq"))
-    return once.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+def judge_by_cosine(pairs: DataFrame, least: float = 0.85) -> DataFrame:
+    """Offline judge of pairs (mode, title, snippets of both sides, similarity): adds ``same`` and ``confidence``."""
+    return pairs.withColumns({"same": F.col("similarity") >= least, "confidence": F.col("similarity")})
+
+
+def cross_source_candidates(items: DataFrame, relation: DataFrame, k: int = 5, exact: bool = True, probes: int = 8) -> DataFrame:
+    """(opp_id, neighbor_id, similarity, place): for each item its ``k`` nearest valid items of the type, unmerged and with a
+    vector, that have evidence from a source the item has none from. The filter comes before the limit: the index
+    probes on until ``k`` items pass.
+
+    ``items``: opp_id, opp_type, state, merged_into, vec; ``relation``: opp_id, src_line and evidence rows.
+    """
+    sources = relation.groupBy("opp_id").agg(F.array_sort(F.collect_set("src_line")).alias("sources"))
+    rows = items.where("vec IS NOT NULL").join(sources, "opp_id", "left")
+    vectors = settle(standard(rows.withColumn("state", F.coalesce("state", F.lit(""))), "opp_id", "opp_type", "vec", "sources"), "cross-items")
+    active = rows.where("state = 'valid' AND merged_into IS NULL").select(F.col("opp_id").alias("id"))
+    index = build(vectors.join(active, "id", "left_semi"))
+    found = search(index, vectors, k, other_tag, probes=probes, exact=exact)
+    return found.select(F.col("id").alias("opp_id"), "neighbor_id", F.round(1 - F.col("distance"), 9).alias("similarity"), "place")
+
+
+def cross_source(items: DataFrame, relation: DataFrame, week: str, judge: Callable[[DataFrame], DataFrame] = judge_by_cosine, cap: int = 40, k: int = 5, least: float = 0.6, exact: bool = True) -> DataFrame:
+    """Evidence for each item from near items of its type and from sources it lacks, as rows to attach.
+
+    Of the ``k`` candidates of ``cross_source_candidates`` the judge, who sees texts and similarity of both sides, keeps
+    those that are the same with a confidence of ``least`` or more. Their rows from sources that the item lacks, that
+    the item does not hold yet and whose own class is the item's type are taken candidate by candidate, by message and
+    number, until the item has ``cap``. A row that two candidates offer uses up two places and is returned once.
+
+    ``items``: opp_id, opp_type, state, merged_into, vec, mode, title, snippets; ``relation``: opp_id, message_id, seq,
+    src_line, spu, requires_spu.
+    """
+    told = ("mode", "title", "snippets")
+    near = settle(cross_source_candidates(items, relation, k, exact), "cross-candidates")
+    side = lambda key, letter: items.select(F.col("opp_id").alias(key), *[F.col(c).alias(f"{c}_{letter}") for c in told])
+    pairs = near.join(side("opp_id", "a"), "opp_id").join(side("neighbor_id", "b"), "neighbor_id")
+    same = judge(pairs).where(F.col("same") & (F.col("confidence") >= least)).select("opp_id", "neighbor_id", "place", "confidence")
+    types = items.select("opp_id", "opp_type")
+    offered = relation.withColumns({"neighbor_id": F.col("opp_id"), "type": opp_type(rule_of(size0("spu") > 0, ~F.col("requires_spu")))}).select("neighbor_id", "message_id", "seq", "src_line", "type")
+    rows = same.join(types, "opp_id").join(offered, "neighbor_id").where("type = opp_type")
+    rows = rows.join(relation.select("opp_id", "src_line").distinct(), ["opp_id", "src_line"], "left_anti")
+    rows = rows.join(relation.select("opp_id", "message_id", "seq"), ["opp_id", "message_id", "seq"], "left_anti")
+    turn = F.row_number().over(W.partitionBy("opp_id").orderBy("place", "message_id", "seq"))
+    taken = rows.withColumn("turn", turn).where(F.col("turn") <= cap)
+    once = taken.groupBy("opp_id", "message_id", "seq").agg(F.min_by(F.struct("neighbor_id", "confidence"), "turn").alias("x"))
+    return once.select("opp_id", "message_id", "seq", "x.neighbor_id", F.lit(week).alias("attach_week"), F.lit("cross_line").alias("match_by"), F.round(F.least(F.col("x.confidence"), F.lit(0.999)), 3).alias("confidence"))

@@ -134,20 +134,3 @@ def safety_rank(s, d):
     rows = _opp(s, d).where(F.col("publish_time") < F.lit(AS_OF).cast("timestamp"))
     counts = C.recount(rows, safety=F.length("opp_id") % 3 == 0)
     return counts.join(C.spread(_opp(s, d)).select("opp_id", "n_eff"), "opp_id", "left").select("opp_id", F.coalesce("n_eff", F.lit(0.0)).alias("n_eff"), "evi_total", "rank_score")
-
-
-@query("""WITH dist AS (SELECT x.vec_id, y.vec_id AS neighbor_id, list_cosine_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS distance FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id),
- near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 12), neighbor_id) AS place FROM dist) WHERE place <= 5),
- rel AS (SELECT vec_id, vec_id // 2 * 3 + j AS message_id, j % 2 AS seq, vec_id % 2 AS source FROM embeddings, (VALUES (0), (1), (2)) v(j)),
- met AS (SELECT n.vec_id, r.message_id, r.seq, min(round(distance, 6)) AS distance FROM near n JOIN rel r ON r.vec_id = n.neighbor_id WHERE r.source <> n.vec_id % 2 AND NOT EXISTS (SELECT 1 FROM rel o WHERE o.vec_id = n.vec_id AND o.message_id = r.message_id AND o.seq = r.seq) GROUP BY ALL)
- SELECT vec_id AS opp_id, message_id, seq, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, message_id, seq) AS place FROM met) WHERE place <= 4""", plain=True)
-def cross_source_evidence(s, d):
-    """Rows of the five nearest items that come from a source the item lacks, four at most."""
-    from ..operators.resolve import cross_source
-
-    rows = read(s, d, "embeddings")
-    known = rows.select(F.col("vec_id").alias("opp_id"), F.col("label").cast("string").alias("opp_type"))
-    near = X.nearest(rows, 5).select(F.col("vec_id").alias("opp_id"), "neighbor_id", "distance")
-    relation = rows.select(F.col("vec_id").alias("opp_id"), (F.col("vec_id") % 2).alias("src_line"), F.explode(F.array(*map(F.lit, range(3)))).alias("j"))
-    relation = relation.select("opp_id", "src_line", (F.floor(F.col("opp_id") / 2) * 3 + F.col("j")).alias("message_id"), (F.col("j") % 2).alias("seq"))
-    return cross_source(known, near, relation, 4)

@@ -9,7 +9,7 @@ from echoloom.operators import core as C
 from echoloom.operators import lifecycle as L
 from echoloom.operators import write as Wr
 from echoloom.operators.cluster import batches, clustered, cliques, cover, name_of, votes
-from echoloom.operators.resolve import cross_source, resolve
+from echoloom.operators.resolve import resolve
 from echoloom.operators.vectors import nearest
 from echoloom.sources.slices import overlapped_window, plan, slices, week_bounds
 from echoloom.streaming.weekly import deduplicated, upsert_sink, weekly_counts
@@ -118,9 +118,6 @@ def test_vectors_and_resolution(spark):
     known = spark.createDataFrame([("o1", "t", "x", None, [1.0, 0.0], False, "valid", None), ("o2", "t", "x", None, [1.0, 0.1], False, "valid", None), ("o3", "t", "y", None, [1.0, 0.0], True, "valid", None), ("o4", "t", "x", None, [1.0, 0.0], False, "valid", "o1")], "opp_id string, opp_type string, tag string, channel string, vec array<double>, safety boolean, state string, merged_into string")
     new = spark.createDataFrame([(1, "t", "x", None, [1.0, 0.01]), (2, "t", "y", None, [1.0, 0.0]), (3, "t", "x", None, [0.0, 1.0]), (4, "t", "z", "c", [1.0, 0.0])], "id long, opp_type string, tag string, channel string, vec array<double>")
     assert rows(resolve(new, known)) == [(1, "attach", "o1", ["o2"]), (2, "create", None, ["o3"]), (3, "create", None, []), (4, "create", None, [])]
-    rel = spark.createDataFrame([("o1", 1, 0, "a"), ("o2", 2, 0, "b"), ("o2", 3, 0, "a")], "opp_id string, message_id long, seq long, src_line string")
-    near = spark.createDataFrame([("o1", "o2", 0.1), ("o2", "o1", 0.1), ("o1", "o3", 0.2)], "opp_id string, neighbor_id string, distance double")
-    assert rows(cross_source(known, near, rel)) == [("o1", 2, 0, 0.1)]
 
 
 def test_slices():
