@@ -39,25 +39,29 @@ def sketch(x: np.ndarray, blocks: int) -> np.ndarray:
 def nearest(points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of each point's nearest entry, ties to the lower index; exact whole numbers.
 
-    The entry whose coarse sketch is nearest gives an upper bound by its exact distance; entries whose coarse, then
-    fine, lower bound exceeds it are out. What survives is decided by exact distances.
+    The entry with the smallest coarse bound gives an upper bound by its exact distance, and entries whose coarse
+    bound exceeds it are out; the smallest fine bound of the rest tightens it once more. What survives the fine
+    bounds too is decided by exact distances.
     """
     index, distance = np.empty(len(points), "int64"), np.empty(len(points), "int64")
-    coarse_book, fine_book = (sketch(book, b) for b in BLOCKS)
-    norms = (book.astype(float) ** 2).sum(1)
-    table = np.column_stack([-2 * coarse_book, norms]).T.copy()
+    sizes = (book**2).sum(1)
+    # A sketch's norm is its vector's, so a product gives bounds without the point's own norm.
+    coarse_table, fine_table = (np.column_stack([-2 * sketch(book, b), sizes]).T.copy() for b in BLOCKS)
     for begin in range(0, len(points), CHUNK):
         x = points[begin : begin + CHUNK]
-        own = (x.astype(float) ** 2).sum(1)
-        slack = SLACK * (own + norms.max() + 1)
-        # A sketch's norm is the vector's, so this is the coarse bound without the point's own norm.
-        bound = np.column_stack([sketch(x, BLOCKS[0]), np.ones(len(x))]) @ table
-        upper = ((x - book[bound.argmin(1)]) ** 2).sum(1) + slack
-        row, entry = np.nonzero(bound <= (upper - own)[:, None])
-        fine = ((sketch(x, BLOCKS[1])[row] - fine_book[entry]) ** 2).sum(1)
-        left = fine <= upper[row]
-        row, entry = row[left], entry[left]
-        exact = ((x[row] - book[entry]) ** 2).sum(1)
+        own, ones = (x**2).sum(1), np.ones(len(x))
+        slack = SLACK * (own + sizes.max() + 1.0)
+
+        def upper(guess: np.ndarray, x=x, own=own, slack=slack) -> np.ndarray:
+            return ((x - book[guess]) ** 2).sum(1) - own + slack
+
+        coarse = np.column_stack([sketch(x, BLOCKS[0]), ones]) @ coarse_table
+        limit = upper(coarse.argmin(1))
+        fine = np.column_stack([sketch(x, BLOCKS[1]), ones]) @ fine_table
+        fine[coarse > limit[:, None]] = np.inf
+        limit = np.minimum(limit, upper(fine.argmin(1)))
+        row, entry = np.divmod(np.flatnonzero(fine <= limit[:, None]), len(book))
+        exact = own[row] + sizes[entry] - 2 * np.einsum("ij,ij->i", x[row], book[entry])
         # Rows follow each other with their entries rising; the smallest (distance, entry) of each.
         first = np.flatnonzero(np.diff(row, prepend=-1))
         best = np.minimum.reduceat(exact * len(book) + entry, first)
