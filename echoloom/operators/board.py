@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .core import by_spu, ratio, size0, wilson
 from .rank import numbered
+from .trigram_index import literal_pattern
 
 STATUSES = ("considering", "in_progress", "done", "dismissed", "revived")
 #: Sort keys that callers may name, else the first; ties go by code.
@@ -128,7 +129,7 @@ def search_products(container: DataFrame, issues: DataFrame, keyword: str = "",
     """Products by keyword (case-insensitive, in code or countries), category and tag; filters not given are not planned."""
     rows = container
     if keyword:
-        like = "%" + keyword.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+        like = literal_pattern(keyword)
         rows = rows.where(F.col("spu").ilike(like) | F.exists(F.split("countries", ","), lambda x: x.ilike(like)))
     if category:
         rows = rows.where(F.col("category") == category)

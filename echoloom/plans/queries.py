@@ -403,4 +403,5 @@ from . import ingest as _ingest  # noqa: E402, F401
 from . import manage as _manage  # noqa: E402, F401
 from . import more as _more  # noqa: E402, F401
 from . import neighbours as _neighbours  # noqa: E402, F401
+from . import search as _search  # noqa: E402, F401
 from . import views as _views  # noqa: E402, F401
