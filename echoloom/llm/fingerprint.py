@@ -12,8 +12,11 @@ from .common import SPACE_RUN, join_checked, row_key, settle, whole
 #: Draws of a fingerprint: the standard error of a likeness is at most 0.032. All pairs share the draws, so their
 #: errors do not average out: with 64 the mean error over a small corpus can reach 0.04.
 SAMPLES = 256
-#: Draws that are evaluated in one row. More make the generated loop too long to be compiled.
+#: Draws that share a seed.
 TOGETHER = 4
+#: A draw of a text whose smallest value exceeds MISSED / number of words (probability e^-40, as that value is
+#: exponential with the number of words as its rate) may be taken from the terms that are left, or be zero.
+MISSED = 40.0
 #: Rows that meet in one window, and the ranges of ids whose quantiles the driver asks for.
 BIN_ROWS, RANGES = 256, 256
 
@@ -23,8 +26,13 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
 
     ``texts`` maps a text column to the name of its weights. Words stand between ASCII white space; a weight is a
     word's number in the text, null where the text lacks the word. Each row also has one term without weights, which
-    draws nothing, so that rows whose texts have no words are not lost.
+    draws nothing, so that rows whose texts have no words are not lost. <weights>_limit goes along: what a text's
+    smallest draw exceeds with the probability e^-MISSED only.
     """
+    sizes = [F.size(F.array_remove(F.split(F.coalesce(F.col(t), F.lit("")), SPACE_RUN), "")) for t in texts]
+    limits = [f"{w}_limit" for w in texts.values()]
+    df = df.withColumns({x: F.try_divide(F.lit(MISSED), n.cast("double")) for x, n in zip(limits, sizes, strict=True)})
+    keep = [*keep, *limits]
     bodies = df.select(*keep, F.posexplode(F.array(*texts)).alias("variant", "body"))
     words = bodies.select(*keep, "variant", F.explode(F.concat(F.split(F.coalesce("body", F.lit("")), SPACE_RUN), F.array(F.lit(None).cast("string")))).alias("word")).where("word IS NULL OR word <> ''")
     counts = [F.count(F.when(F.col("variant") == k, F.col("word"))).alias(w) for k, w in enumerate(texts.values())]
@@ -33,7 +41,7 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
 
 
 def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
-    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): ``count`` samples of 4 hex digits.
+    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): an array of ``count`` samples of 16 bits.
 
     Draw i samples consistently: a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of
     its hash and i; t = floor(ln w / r + b), and the term with the smallest a = c exp(-r (t - b) - r) is drawn. Two
@@ -41,47 +49,61 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
 
     With r = -ln u - ln v and b = ln v / (ln u + ln v) of two uniforms, r is Gamma(2, 1), b uniform and independent
     of r, and a = c u (u v)^t, where t counts the j >= 0 with w u (u v)^j >= 1: of most words t is 0 without any
-    logarithm. a and the code of the drawn pair are packed in one long, so a draw is a plain minimum, combined
-    before any shuffle.
+    logarithm. A term's a is exponential with its weight as the rate, so of long texts few terms can win a draw, and
+    the rest goes before the logarithm of c. a and the code of the drawn pair are packed in one long, so a draw is a
+    plain minimum, combined before any shuffle.
     """
     each = min(TOGETHER, count)
     if count % each:
         raise ValueError(f"count must be a multiple of {each}")
-    draws, weights = range(each), list(prints)
+    weights, limits = list(prints), [f"{w}_limit" for w in prints]
 
-    def uniform(bits: Column, low: int, width: int) -> Column:
-        """In (0, 1), from ``width`` bits."""
-        part = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << width) - 1))
-        return (part.cast("double") + 0.5) * (1 / float(1 << width))
+    def uniform(bits: str, low: int) -> Column:
+        """In (0, 1), from 32 bits."""
+        part = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << 32) - 1))
+        return (part.cast("double") + 0.5) * (1 / float(1 << 32))
 
     # Each step is a projection of its own: what a later step names twice is computed once.
-    rows = words.select(*by, *weights, "term", F.explode(F.sequence(F.lit(0), F.lit(count // each - 1))).alias("block"))
-    rows = rows.select(*by, "block", *weights, F.xxhash64("term", "block").alias("seed"))
-    rows = rows.select(*by, "block", *weights, *[F.xxhash64("seed", F.lit(2 * i + k)).alias(f"h{k}_{i}") for i in draws for k in (0, 1)])
-    u, v = (lambda i: uniform(F.col(f"h0_{i}"), 0, 32)), (lambda i: uniform(F.col(f"h0_{i}"), 32, 32))
+    carried = [*by, *weights, *limits]
+    rows = words.select(*carried, "term", F.explode(F.sequence(F.lit(0), F.lit(count // each - 1))).alias("block"))
+    rows = rows.select(*carried, "block", F.xxhash64("term", "block").alias("seed"))
+    rows = rows.select(*carried, "block", "seed", F.explode(F.array(*map(F.lit, range(each)))).alias("i"))
+    rows = rows.select(*carried, (F.col("block") * each + F.col("i")).alias("draw"), F.xxhash64("seed", F.col("i") * 2).alias("h0"), F.xxhash64("seed", F.col("i") * 2 + 1).alias("h1"))
     # -ln(u v) of two uniforms is Gamma(2, 1).
-    gamma = lambda i: -F.log(uniform(F.col(f"h1_{i}"), 0, 32) * uniform(F.col(f"h1_{i}"), 32, 32))
-    drawn = [x for i in draws for x in (u(i).alias(f"u{i}"), (u(i) * v(i)).alias(f"q{i}"), (gamma(i) * u(i)).alias(f"a{i}"))]
-    rows = rows.select(*by, "block", *weights, *[F.col(f"h0_{i}") for i in draws], *drawn)
-
-    def steps(k: int, i: int) -> Column:
-        first = F.col(weights[k]) * F.col(f"u{i}")
-        return F.when(first < 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(first) / -F.log(F.col(f"q{i}"))) + 1)
-
-    rows = rows.select(*by, "block", *[F.col(f"{x}{i}") for i in draws for x in ("h0_", "q", "a")], *[steps(k, i).alias(f"t{k}_{i}") for k in range(len(weights)) for i in draws])
-
-    def draw(k: int, i: int) -> Column:
-        t, q = F.col(f"t{k}_{i}"), F.col(f"q{i}")
-        a = F.col(f"a{i}") * F.when(t == 0, F.lit(1.0)).when(t == 1, q).otherwise(F.pow(q, t))
+    rows = rows.select(*carried, "draw", "h0", uniform("h0", 0).alias("u"), uniform("h0", 32).alias("v"), (uniform("h1", 0) * uniform("h1", 32)).alias("x"))
+    # Most terms cannot win a draw, as -ln x is 1 - x at least: they go before any logarithm. Terms whose t is not 0 stay,
+    # and the term without weights, which keeps the row of every draw.
+    blank = F.lit(True)
+    may_win = F.lit(False)
+    for w, limit in zip(weights, limits, strict=True):
+        blank = blank & F.col(w).isNull()
+        may_win = may_win | (F.col(w).isNotNull() & ((F.col(w) * F.col("u") >= 1) | ((1 - F.col("x")) * F.col("u") <= F.col(limit))))
+    rows = rows.where(may_win | blank)
+    rows = rows.select(*carried, "draw", "h0", "u", (F.col("u") * F.col("v")).alias("q"), (-F.log("x") * F.col("u")).alias("a"))
+
+    def steps(w: str) -> Column:
+        first = F.col(w) * F.col("u")
+        return F.when(first < 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(first) / -F.log("q")) + 1)
+
+    rows = rows.select(*by, *limits, "draw", "h0", "q", "a", *[steps(w).alias(f"t{k}") for k, w in enumerate(weights)])
+
+    def draw(k: int) -> Column:
+        t, q = F.col(f"t{k}"), F.col("q")
+        a = F.col("a") * F.when(t == 0, F.lit(1.0)).when(t == 1, q).otherwise(F.pow(q, t))
         # The first hash stands for the term; t is small and moved off the bits' low end.
-        code = F.col(f"h0_{i}").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
-        return F.min(F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)).alias(f"d{k}_{i}")
+        code = F.col("h0").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
+        return F.min(F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)).alias(f"d{k}")
 
     # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
-    least = rows.groupBy(*by, "block").agg(*[draw(k, i) for k in range(len(weights)) for i in draws])
-    digits = [F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.col(f"d{k}_{i}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)))), 4, "0") for i in draws]).alias(f"p{k}") for k in range(len(weights))]
-    parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", *digits))).alias("parts"))
-    return parts.select(*by, *[F.array_join(F.col(f"parts.p{k}"), "").alias(name) for k, name in enumerate(prints.values())])
+    least = rows.groupBy(*by, "draw").agg(*[draw(k) for k in range(len(weights))])
+    codes = [F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)).cast("int").alias(f"p{k}") for k in range(len(weights))]
+    parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("draw", *codes))).alias("parts"))
+    return parts.select(*by, *[F.col(f"parts.p{k}").alias(name) for k, name in enumerate(prints.values())])
+
+
+def text_of(draws: Column) -> Column:
+    """A fingerprint as text: four hex digits a draw."""
+    return F.array_join(F.transform(draws, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
@@ -89,16 +111,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     keyed = source.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "text").dropDuplicates(["key"])
     words = weighted_words(keyed, {"text": "weight"}, ["id", "key"])
-    return samples(words, ["id", "key"], {"weight": "fingerprint"}, count).select(F.col("id").alias(id_col), "key", "fingerprint")
+    return samples(words, ["id", "key"], {"weight": "fingerprint"}, count).select(F.col("id").alias(id_col), "key", text_of(F.col("fingerprint")).alias("fingerprint"))
+
+
+def agreement(a: Column, b: Column, count: int = SAMPLES) -> Column:
+    """Share of equal samples of two fingerprints as arrays: an estimate of the texts' generalised Jaccard similarity."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / float(count)
 
 
 def likeness(a: Column, b: Column, count: int = SAMPLES) -> Column:
-    """Share of equal samples of two fingerprints: an estimate of the texts' generalised Jaccard similarity."""
-    same = [(F.substring(a, 1 + 4 * i, 4) == F.substring(b, 1 + 4 * i, 4)).cast("int") for i in range(count)]
-    total = same[0]
-    for x in same[1:]:
-        total = total + x
-    return total / float(count)
+    """As ``agreement``, of two fingerprints as text."""
+    draws = lambda c: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(c, i * 4 + 1, F.lit(4)))
+    return agreement(draws(a), draws(b), count)
 
 
 def _search(splits: list[int], low: int, high: int) -> str:
@@ -176,4 +200,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     about = both.select(*by, "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     drawn = about.join(drawn.drop("given"), by[:3])
     near = drawn.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("range", "bin").orderBy("row"))).where("guest = 0")
-    return near.select(F.col("given").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), count).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), count).alias("near_next"))
+    own, edited, after = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    return near.select(F.col("given").alias(id_col), "n_chars", "edited_sha256", text_of(own).alias("fingerprint"), text_of(edited).alias("edited_fingerprint"), agreement(own, edited, count).alias("near_edited"), agreement(own, after, count).alias("near_next"))
