@@ -399,6 +399,7 @@ def weekly_event_counts(s, d):
 
 
 # The other modules of queries register themselves here.
+from . import generated as _generated  # noqa: E402, F401
 from . import ingest as _ingest  # noqa: E402, F401
 from . import manage as _manage  # noqa: E402, F401
 from . import more as _more  # noqa: E402, F401
