@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import tax_levels
 from .core import by_spu, ratio, size0, wilson
 from .rank import numbered
 from .trigram_index import literal_pattern
@@ -20,9 +21,14 @@ def recent(opp_evidence: DataFrame, as_of, days: int = 60) -> DataFrame:
     return opp_evidence.where((F.col("publish_time") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))) & (F.col("publish_time") <= F.lit(as_of).cast("timestamp")))
 
 
-def board_list(container: DataFrame, issues: DataFrame, opp_evidence: DataFrame, as_of, sort: str = "wilson", limit: int | None = None) -> DataFrame:
-    """Products with issues: issue and recent evidence counts, negative ratio and its Wilson bound, ordered with a rank."""
+def board_list(container: DataFrame, issues: DataFrame, opp_evidence: DataFrame, as_of, sort: str = "wilson", limit: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Products with issues: issue and recent evidence counts, negative ratio and its Wilson bound, ordered with a rank.
+
+    ``only`` (spu), such as revived_products(), leaves the other products out before anything of them is counted.
+    """
     sort = sort if sort in BOARD_SORTS else BOARD_SORTS[0]
+    if only is not None:
+        issues, container = issues.join(only, "spu", "left_semi"), container.join(only, "spu", "left_semi")
     counts = issues.groupBy("spu").agg(F.count(F.lit(1)).alias("issue_count"), F.sum("evi_count").alias("evi_count"))
     fresh = by_spu(recent(opp_evidence, as_of)).groupBy("spu").agg(F.count(F.lit(1)).alias("recent_evi_count"))
     rows = counts.join(container, "spu", "left").join(fresh, "spu", "left")
@@ -146,11 +152,33 @@ def spu_medians(container: DataFrame) -> DataFrame:
     return rows.select("spu", F.round("negative_ratio", 6).alias("negative_ratio"), "message_count").crossJoin(F.broadcast(mid))
 
 
-def issue_voices(opp_evidence: DataFrame, limit: int = 3) -> DataFrame:
-    """The latest voices of each issue: a top-k report."""
-    rows = opp_evidence.where("rule = 'R1'").select("opp_id", "message_id", "seq", "publish_time", "evidence_text", F.explode(F.array_distinct("spu")).alias("spu"))
-    place = W.partitionBy("spu", "opp_id").orderBy(F.desc("publish_time"), "message_id", "seq")
-    return rows.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= limit).select("spu", "opp_id", "place", "message_id", "seq", "evidence_text")
+def issue_voices(opp_evidence: DataFrame, detail: DataFrame) -> DataFrame:
+    """All voices of each issue with place, text, translation, tax levels and what is known of the message.
+
+    The text is the snippet, else the content; the translation is the message's, where it says something else than the
+    content. Places go by publish time, the latest first and those without last, then by message and number.
+    ``detail``: message_id, content_zh, platform, lang, url.
+    """
+    tax = tax_levels(F.col("tax_path"))
+    rows = opp_evidence.join(detail, "message_id", "left").select(
+        "opp_id", "message_id", "seq", F.coalesce(F.nullif("snippet", F.lit("")), "content").alias("voice_text"), translation(F.col("content_zh"), F.col("content")).alias("translation"),
+        *[tax[x].alias(f"tax_{x}") for x in ("stage", "domain", "sub", "leaf")], "platform", "publish_time", "star", "country", "lang", "interactions", "url", F.explode(F.array_distinct("spu")).alias("spu"),
+    )
+    place = W.partitionBy("spu", "opp_id").orderBy(F.desc_nulls_last("publish_time"), "message_id", "seq")
+    return rows.withColumn("place", F.row_number().over(place).cast("long"))
+
+
+def translation(translated: Column, content: Column) -> Column:
+    """What a translation adds: null where it is the content (or is missing as the content is)."""
+    return F.when(~translated.eqNullSafe(content), translated)
+
+
+def revived_products(issues: DataFrame, manual: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Products with a current issue that is open again: under consideration, revived at some time, its opportunity known and not
+    merged away. ``manual``: spu, opp_id, status, revived_at."""
+    again = manual.where((F.col("status") == "considering") & F.col("revived_at").isNotNull()).select("spu", "opp_id")
+    alive = opportunities.where("merged_into IS NULL").select("opp_id")
+    return again.join(issues.select("spu", "opp_id"), ["spu", "opp_id"], "left_semi").join(alive, "opp_id", "left_semi").select("spu").distinct()
 
 
 def innovation_pool(opp_evidence: DataFrame) -> DataFrame:

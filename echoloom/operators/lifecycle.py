@@ -30,11 +30,19 @@ def baseline_as_of(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return both.withColumn("snap", F.last("snap", ignorenulls=True).over(order)).where("kind = 1").select("opp_id", F.col("week").alias("event_week"), F.col("snap.week").alias("baseline_week"), F.col("snap.evi_total").alias("baseline"))
 
 
-def revive_candidates(snapshot: DataFrame, events: DataFrame, pending: DataFrame, factor: int = 3) -> DataFrame:
-    """Dismissed opportunities whose count has reached ``factor`` times the count at dismissal, unless one is pending."""
+def revive_candidates(snapshot: DataFrame, events: DataFrame, pending: DataFrame, factor: int = 3, rejected: DataFrame | None = None) -> DataFrame:
+    """Dismissed opportunities whose count has reached ``factor`` times the count at dismissal, unless one is pending.
+
+    ``rejected`` (opp_id, decided_at, evi_at_reject) are revivals that were refused: the last one's count raises the
+    baseline, so that the same growth is not put forward again. An opportunity without a count at dismissal is none.
+    """
     now = snapshot.groupBy("opp_id").agg(F.max("evi_total").alias("current"))
-    rows = baseline_as_of(snapshot, events).join(now, "opp_id").where(F.col("current") >= factor * F.col("baseline"))
-    return rows.join(pending.select("opp_id"), "opp_id", "left_anti")
+    rows = baseline_as_of(snapshot, events).where("baseline > 0").join(now, "opp_id")
+    if rejected is not None:
+        # The latest decision counts; undated ones come before any dated one.
+        last = rejected.groupBy("opp_id").agg(F.max_by("evi_at_reject", F.struct(F.col("decided_at").isNotNull(), "decided_at", F.coalesce("evi_at_reject", F.lit(0)))).alias("evi_at_reject"))
+        rows = rows.join(last, "opp_id", "left").withColumn("baseline", F.greatest("baseline", F.coalesce("evi_at_reject", F.lit(0)))).drop("evi_at_reject")
+    return rows.where(F.col("current") >= factor * F.col("baseline")).join(pending.select("opp_id"), "opp_id", "left_anti")
 
 
 def release(recounted: DataFrame, top: int = 50) -> DataFrame:

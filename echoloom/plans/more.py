@@ -11,7 +11,7 @@ from ..operators import vectors as X
 from ..operators.resolve import resolve, same_by_cosine
 from ..operators.write import reconcile
 from ..sources.fixtures import evidence, message, read
-from .queries import AS_OF, BY_SPU, CONTAINER, ISSUES, MANUAL, SPREAD, _candidates, _container, _issues, _opp, query
+from .queries import AS_OF, BY_SPU, CONTAINER, DETAIL, ISSUES, MANUAL, SPREAD, _candidates, _container, _detail, _issues, _opp, query
 
 
 @query("""SELECT CASE WHEN rule = 'R1' THEN 'existing_product' WHEN rule = 'R2' THEN 'innovation' END AS opp_type, CASE rule WHEN 'R1' THEN lower(tag) WHEN 'R2' THEN content_branch END AS topic, CASE WHEN rule = 'R2' THEN channel END AS channel,
@@ -108,12 +108,12 @@ def innovation_detail(s, d):
     return facts.join(named, "opp_id").crossJoin(F.broadcast(total)).select("opp_id", "n", "spus", "messages", F.round(100.0 * F.col("n") / F.col("most"), 2).alias("bar"), F.round(F.col("n") / F.col("all"), 6).alias("share"), "top")
 
 
-@query("""SELECT message_id, coalesce(nullif(trim(snippet, ' '), ''), nullif(trim(content, ' '), '')) AS voice, CASE WHEN coalesce(nullif(trim(snippet, ' '), ''), nullif(trim(content, ' '), '')) IS DISTINCT FROM content THEN content END AS translation, seq FROM evidence JOIN message USING (message_id) WHERE is_product IS NOT TRUE""")
+@query("""SELECT message_id, coalesce(nullif(trim(snippet, ' '), ''), nullif(trim(content, ' '), '')) AS voice, CASE WHEN content_zh IS DISTINCT FROM content THEN content_zh END AS translation, seq FROM evidence JOIN message USING (message_id) JOIN detail USING (message_id) WHERE is_product IS NOT TRUE""", DETAIL)
 def service_voices(s, d):
-    """What evidence beside the product says: the first text there is, and the content where it says something else."""
-    rows = evidence(s, d).where(~F.coalesce("is_product", F.lit(False))).join(message(s, d).select("message_id", "content"), "message_id")
+    """What evidence beside the product says: the first text there is, and the translation where it is not the content."""
+    rows = evidence(s, d).where(~F.coalesce("is_product", F.lit(False))).join(message(s, d).select("message_id", "content"), "message_id").join(_detail(s, d).select("message_id", "content_zh"), "message_id")
     voice = F.coalesce(C.blank_to_null("snippet"), C.blank_to_null("content"))
-    return rows.select("message_id", "seq", voice.alias("voice"), F.when(~voice.eqNullSafe(F.col("content")), F.col("content")).alias("translation"))
+    return rows.select("message_id", "seq", voice.alias("voice"), B.translation(F.col("content_zh"), F.col("content")).alias("translation"))
 
 
 @query("""SELECT event_id, coalesce((props->>'$.k')::BIGINT, 0) AS k, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'batch' END AS stage, (event_id % 3 = 0)::BIGINT + 1 AS keys FROM events""", plain=True)

@@ -194,9 +194,28 @@ def spu_medians(s, d):
     return B.spu_medians(_container(s, d))
 
 
-@query("SELECT spu, opp_id, place, message_id, seq, evidence_text FROM (SELECT *, row_number() OVER (PARTITION BY spu, opp_id ORDER BY publish_time DESC, message_id, seq) AS place FROM (SELECT opp_id, message_id, seq, publish_time, evidence_text, unnest(spu) AS spu FROM opp_evidence WHERE rule = 'R1')) WHERE place <= 3")
+#: What a message has besides: a translation (missing, equal to the content, or another text), platform, language and address.
+DETAIL = """detail AS (SELECT o_orderkey AS message_id, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 11 <> 0 THEN 'msg ' || o_orderkey END WHEN 1 THEN NULL ELSE 'zh ' || o_orderkey END AS content_zh,
+  o_orderpriority AS platform, o_orderstatus AS lang, 'https://voice.example/' || o_orderkey AS url FROM orders)"""
+
+
+def _detail(s: SparkSession, d: str) -> DataFrame:
+    k, name = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    own = F.when(k % 11 != 0, F.concat(F.lit("msg "), name))
+    zh = F.when(k % 4 == 0, own).when(k % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("zh "), name))
+    return read(s, d, "orders").select(k.alias("message_id"), zh.alias("content_zh"), F.col("o_orderpriority").alias("platform"), F.col("o_orderstatus").alias("lang"), F.concat(F.lit("https://voice.example/"), name).alias("url"))
+
+
+_PART = lambda n: f"nullif(trim(split_part(e.tax_path, '/', {n})), '')"
+
+
+@query(f"""SELECT *, row_number() OVER (PARTITION BY spu, opp_id ORDER BY publish_time DESC NULLS LAST, message_id, seq) AS place FROM (
+ SELECT DISTINCT k.spu, oe.opp_id, oe.message_id, oe.seq, coalesce(nullif(e.snippet, ''), msg.content) AS voice_text, CASE WHEN x.content_zh IS DISTINCT FROM msg.content THEN x.content_zh END AS translation,
+  {_PART(2)} AS tax_stage, {_PART(3)} AS tax_domain, {_PART(4)} AS tax_sub, {_PART(5)} AS tax_leaf, x.platform, msg.publish_time, msg.star, msg.country, x.lang, msg.interactions, x.url
+ FROM (SELECT opp_id, message_id, seq FROM opp_evidence) oe JOIN evidence e ON e.message_id = oe.message_id AND e.seq = oe.seq JOIN message msg ON msg.message_id = oe.message_id JOIN detail x ON x.message_id = oe.message_id, LATERAL (SELECT unnest(msg.spu) AS spu) k)""", DETAIL)
 def issue_voices(s, d):
-    return B.issue_voices(_opp(s, d))
+    """All voices of all issues, as the drill-down of each shows them."""
+    return B.issue_voices(_opp(s, d), _detail(s, d)).withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz"))
 
 
 @query("""SELECT opp_id, evi_total, first_week, last_week, messages, interactions, brands, round(100.0::DOUBLE * evi_total / max(evi_total) OVER (), 2) AS bar FROM (SELECT opp_id, count(*) AS evi_total, min(attach_week) AS first_week, max(attach_week) AS last_week FROM opp_evidence WHERE rule = 'R2' GROUP BY 1)
@@ -236,6 +255,20 @@ def revive_candidates(s, d):
     return L.revive_candidates(L.weekly_snapshot(opp), _events(opp), pending)
 
 
+REJECTED = "rejected AS (SELECT DISTINCT opp_id, TIMESTAMP '1999-01-01' + INTERVAL (j) DAY AS decided_at, (length(opp_id) + 5 * j)::BIGINT AS evi_at_reject FROM opp_evidence, (VALUES (1), (2)) v(j) WHERE length(opp_id) % 2 = 0)"
+
+
+@query("""SELECT opp_id, event_week, baseline_week, greatest(baseline, coalesce(evi, 0)) AS baseline, current FROM base JOIN (SELECT opp_id, max(evi_total) AS current FROM snap GROUP BY 1) USING (opp_id)
+ LEFT JOIN (SELECT opp_id, arg_max(evi_at_reject, decided_at) AS evi FROM rejected GROUP BY 1) USING (opp_id) WHERE baseline > 0 AND current >= 2 * greatest(baseline, coalesce(evi, 0))""", SNAP, EVENTS, AS_OF_SQL, REJECTED)
+def revive_after_rejection(s, d):
+    """Revivals by twice the baseline, which the last refusal has raised."""
+    opp = _opp(s, d)
+    n = F.length("opp_id")
+    refused = opp.where(n % 2 == 0).select("opp_id").distinct().select("opp_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("j"))
+    refused = refused.select("opp_id", F.expr("timestampadd(DAY, j, TIMESTAMP '1999-01-01')").alias("decided_at"), (n + 5 * F.col("j")).cast("long").alias("evi_at_reject"))
+    return L.revive_candidates(L.weekly_snapshot(opp), _events(opp), opp.select("opp_id").limit(0), 2, refused)
+
+
 @query("SELECT opp_id, place, dual_source OR place <= 50 AS released FROM (SELECT *, row_number() OVER (ORDER BY rank_score DESC NULLS LAST, opp_id) AS place FROM recounted)", RECOUNT)
 def release_policy(s, d):
     return L.release(C.recount(_opp(s, d)))

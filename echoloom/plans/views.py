@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import board as B
 from ..operators import core as C
 from ..operators import views as V
 from ..sources.fixtures import evidence, message, read
@@ -197,3 +198,16 @@ def board_sorts(s, d):
         part = numbered(rows, *V.board_order(key, down), name="place").select(F.lit(name).alias("sort"), "spu", "place")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(f"""SELECT spu, category, avg_star, message_count, issue_count, evi_count, coalesce(recent_evi_count, 0) AS recent_evi_count, row_number() OVER (ORDER BY evi_count DESC, spu) AS rank FROM (SELECT spu, count(*) AS issue_count, sum(evi_count)::BIGINT AS evi_count FROM issues GROUP BY spu) LEFT JOIN container USING (spu)
+ LEFT JOIN (SELECT spu, count(*) AS recent_evi_count FROM by_spu WHERE publish_time >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY AND publish_time <= TIMESTAMP '{AS_OF}' GROUP BY spu) USING (spu)
+ WHERE spu IN (SELECT m.spu FROM revivals m JOIN issues i ON i.spu = m.spu AND i.opp_id = m.opp_id JOIN opps o ON o.opp_id = m.opp_id WHERE m.status = 'considering' AND m.revived_at IS NOT NULL AND o.merged_into IS NULL)""", BY_SPU, ISSUES, CONTAINER, OPPS, """revivals AS (SELECT spu, opp_id, CASE WHEN evi_count % 4 = 0 THEN 'done' ELSE 'considering' END AS status, CASE WHEN (evi_count + length(spu)) % 9 = 0 THEN 1 END AS revived_at FROM issues UNION ALL SELECT 'P-gone', min(opp_id), 'considering', 1 FROM issues)""")
+def board_list_revived(s, d):
+    """The board of products with an issue that is open again, by evidence."""
+    issues = _issues(s, d)
+    n = F.col("evi_count")
+    manual = issues.select("spu", "opp_id", F.when(n % 4 == 0, "done").otherwise("considering").alias("status"), F.when((n + F.length("spu")) % 9 == 0, 1).alias("revived_at"))
+    manual = manual.unionByName(issues.agg(F.min("opp_id").alias("opp_id")).select(F.lit("P-gone").alias("spu"), "opp_id", F.lit("considering").alias("status"), F.lit(1).alias("revived_at")))
+    board = B.board_list(_container(s, d), issues, _opp(s, d), AS_OF, "evidence", only=B.revived_products(issues, manual, _opps(s, d)))
+    return board.drop("wilson", "negative_ratio")
