@@ -70,7 +70,7 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
     rows = rows.select(*carried, "block", "seed", F.explode(F.array(*map(F.lit, range(each)))).alias("i"))
     rows = rows.select(*carried, (F.col("block") * each + F.col("i")).alias("draw"), F.xxhash64("seed", F.col("i") * 2).alias("h0"), F.xxhash64("seed", F.col("i") * 2 + 1).alias("h1"))
     # -ln(u v) of two uniforms is Gamma(2, 1).
-    rows = rows.select(*carried, "draw", "h0", uniform("h0", 0).alias("u"), uniform("h0", 32).alias("v"), (uniform("h1", 0) * uniform("h1", 32)).alias("x"))
+    rows = rows.select(*carried, "draw", "h0", uniform("h0", 0).alias("u"), uniform("h0", 32).alias("v"), (uniform("h1", 0) * uniform("h1", 32)).alias("x"), F.spark_partition_id().alias("task"))
     # Most terms cannot win a draw, as -ln x is 1 - x at least: they go before any logarithm. Terms whose t is not 0 stay,
     # and the term without weights, which keeps the row of every draw.
     blank = F.lit(True)
@@ -78,7 +78,9 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
     for w, limit in zip(weights, limits, strict=True):
         blank = blank & F.col(w).isNull()
         may_win = may_win | (F.col(w).isNotNull() & ((F.col(w) * F.col("u") >= 1) | ((1 - F.col("x")) * F.col("u") <= F.col(limit))))
-    rows = rows.where(may_win | blank)
+    # The task's number, never negative, keeps the optimizer from moving the filter below the hashes, where it would
+    # compute each of them once for every use.
+    rows = rows.where(may_win | blank | (F.col("task") < 0))
     rows = rows.select(*carried, "draw", "h0", "u", (F.col("u") * F.col("v")).alias("q"), (-F.log("x") * F.col("u")).alias("a"))
 
     def steps(w: str) -> Column:
