@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_checked, row_key, settle, solid_words, whole
@@ -208,6 +208,12 @@ def compare_blocks(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, in
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Class of a set's size. Sets that are similar to ``percent`` have sizes within that ratio, so their classes differ by one
+    at most; classes are a little wider than the ratio, as logarithms round."""
+    return F.floor(F.log(n.cast("double")) / (log(100 / min(percent, 99)) * (1 + 1e-9)))
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, worded: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the (a, b) key pairs that are similar, settled."""
     count = BANDS * ROWS
@@ -235,8 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Texts with the same word sequence are one class with one representative, so copies cost one row.
     2. Members of a band's bucket are compared with the smallest member only: pairs grow with a group's size.
     3. Where that leaves a bucket with several components, members outside its largest one are compared with all
-       members of other components, block by block inside tasks: what step 2 could miss. Signatures are compared
-       first; texts are fetched only for members with a candidate left. Only verified links leave a task, fewer
+       members of other components whose set may be near enough in size, block by block inside tasks: what step 2
+       could miss. Signatures are compared first; texts are fetched only for members with a candidate left. Only verified links leave a task, fewer
        than the components it holds.
     Candidates fall away as soon as the posterior of reaching ``percent`` sinks under MISS; survivors are decided
     on the full sets. A pair at the threshold shares no band with the probability stated at BANDS.
@@ -252,10 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     signed = settle(hashed.mapInArrow(lambda b: signatures(b, size, count), f"id {id_type}, key binary, c1 long, c2 long, n_shingles long, sig binary"), "near-signatures")
 
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "key")).alias("node"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
-    classes = settle(classes.select("c1", "c2", "node", F.col("node.key").alias("key"), "copies", "sig"), "near-classes")
+    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("id", "key")).alias("node"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"), F.min(size_class(F.col("n_shingles"), percent)).alias("size"))
+    classes = settle(classes.select("c1", "c2", "node", F.col("node.key").alias("key"), "copies", "sig", "size"), "near-classes")
     sigs = classes.select("key", "sig")
-    bands = classes.select("node", F.posexplode(F.array(*[F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS) for i in range(BANDS)])).alias("band", "part")).select("node", "band", F.xxhash64("band", "part").alias("bucket"))
+    bands = classes.select("node", "size", F.posexplode(F.array(*[F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS) for i in range(BANDS)])).alias("band", "part")).select("node", "size", "band", F.xxhash64("band", "part").alias("bucket"))
     shared = settle(bands.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("bucket", "first"), "near-buckets")
     members = settle(join_checked(bands, shared, "bucket", "inner"), "near-members")
 
@@ -269,12 +275,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return settle(connected_components(ends.select("x", "y"), "x", "y"), "near-components")
 
     parts = components(links)
-    placed = join_checked(members, parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("part"))
-    # Buckets that still have several components are compared in blocks, so no task holds a whole bucket.
-    sizes = placed.groupBy("bucket", "part").count()
+    placed = join_checked(members, parts, "node", "left").select("bucket", "size", "band", "node", F.coalesce("component", "node").alias("part"))
+    # Only sets of one size class or two neighbouring ones can be similar: a bucket falls apart into cells, in which a
+    # member is at home in one and a guest in the one below.
+    visits = F.explode(F.array(F.struct(F.col("size").alias("cell"), F.lit(1).alias("home")), F.struct((F.col("size") - 1).alias("cell"), F.lit(0).alias("home"))))
+    placed = placed.select(visits.alias("at"), "bucket", "band", "node", "part").select(F.xxhash64("bucket", "at.cell").alias("bucket"), "at.home", "band", "node", "part")
+    # Cells that still have several components are compared in blocks, so no task holds a whole one.
+    sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("count"), F.sum("home").alias("home"))
     top = F.max(F.struct("count", "part"))
-    open_ = sizes.groupBy("bucket").agg(top["part"].alias("main"), top["count"].alias("inner"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = settle(open_.drop("n"), "near-open")
+    open_ = sizes.groupBy("bucket").agg(top["part"].alias("main"), top["count"].alias("inner"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("n"), F.sum("home").alias("home")).where("n > 1 AND home > 0")
+    open_ = settle(open_.drop("n", "home"), "near-open")
     if not open_.isEmpty():
         left = join_checked(placed, open_, "bucket", "inner").select("bucket", "band", F.col("node.key").alias("key"), F.col("part.key").alias("part"), (F.col("part") == F.col("main")).alias("main"), "all", F.ceil((F.col("all") - F.col("inner")) / BLOCK).alias("outs"), F.ceil(F.col("inner") / BLOCK).alias("ins"))
         own = F.pmod(F.xxhash64("key", "bucket"), F.when(F.col("main"), F.col("ins")).otherwise(F.col("outs")))
