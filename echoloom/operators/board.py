@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tax_levels
 from .core import by_spu, ratio, size0, wilson
-from .rank import numbered
+from .rank import medians, numbered
 from .trigram_index import literal_pattern
 
 STATUSES = ("considering", "in_progress", "done", "dismissed", "revived")
@@ -148,8 +148,9 @@ def spu_medians(container: DataFrame) -> DataFrame:
     """Each product beside the medians over all products; ratios leave out products without evidence."""
     total = F.col("negative_evi_count") + F.col("positive_evi_count")
     rows = container.withColumn("negative_ratio", F.try_divide(F.col("negative_evi_count").cast("double"), total))
-    mid = rows.agg(F.round(F.median("negative_ratio"), 6).alias("median_ratio"), F.round(F.median("message_count"), 6).alias("median_messages"), F.round(F.median("avg_star"), 6).alias("median_star"))
-    return rows.select("spu", F.round("negative_ratio", 6).alias("negative_ratio"), "message_count").crossJoin(F.broadcast(mid))
+    mid = medians(rows, median_ratio=F.col("negative_ratio"), median_messages=F.col("message_count"), median_star=F.col("avg_star"))
+    own = rows.select("spu", F.round("negative_ratio", 6).alias("negative_ratio"), "message_count")
+    return own.withColumns({name: F.round(F.lit(value).cast("double"), 6) for name, value in mid.items()})
 
 
 def issue_voices(opp_evidence: DataFrame, detail: DataFrame) -> DataFrame:

@@ -105,29 +105,44 @@ def classify_all(keys: DataFrame, rows: DataFrame, *by: str) -> DataFrame:
 def lifecycle_routing(candidates: DataFrame) -> DataFrame:
     """Candidates by lifecycle, the rows that need a product and have none in a set of their own (invalid)."""
     old, bad = F.col("rule") == "R1", F.col("rule") == "R3"
-    topic = F.when(old, bucket_value(F.col("tag"))).otherwise(bucket_value(F.col("content_branch")))
-    keyed = candidates.select(opp_type(F.col("rule")).alias("opp_type"), F.when(~bad, topic).alias("topic"), F.when(~old & ~bad, F.col("channel")).alias("channel"), classification_state(F.col("rule")).alias("state"))
+    candidates = folded(candidates, F.when(old, F.col("tag")).otherwise(F.col("content_branch")), "topic")
+    keyed = candidates.select(opp_type(F.col("rule")).alias("opp_type"), F.when(~bad, F.col("topic")).alias("topic"), F.when(~old & ~bad, F.col("channel")).alias("channel"), classification_state(F.col("rule")).alias("state"))
     return keyed.groupBy("opp_type", "topic", "channel", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lifecycle_buckets(pool: DataFrame) -> DataFrame:
     """Pool rows by lifecycle: existing products by tag, innovation by branch and channel, with the bucket's context."""
     old = F.col("rule") == "R1"
-    keyed = pool.select(
+    keyed = folded(pool, F.when(old, F.col("tag")).otherwise(F.col("content_branch")), "topic").select(
         opp_type(F.col("rule")).alias("opp_type"),
-        F.when(old, bucket_value(F.col("tag"))).otherwise(bucket_value(F.col("content_branch"))).alias("topic"),
+        "topic",
         F.when(~old, F.col("channel")).alias("channel"),
         "category", "tax_path", "star",
     )
-    n = F.count_distinct("category")
-    return keyed.groupBy("opp_type", "topic", "channel").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(n == 0, "undetermined").when(n == 1, F.max("category")).otherwise("cross").alias("category"),
-        F.expr("mode() WITHIN GROUP (ORDER BY tax_path)").alias("tax_path"),
-        low_star_rate("star").alias("low_star_rate"),
+    by = ["opp_type", "topic", "channel"]
+    paths = keyed.groupBy(*by, "tax_path").agg(F.count(F.lit(1)).alias("n"), F.count("star").alias("stars"), F.count_if(F.col("star") <= 2).alias("low"), F.min("category").alias("least"), F.max("category").alias("most"))
+    one = F.min("least") == F.max("most")
+    return paths.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.when(F.max("most").isNull(), "undetermined").when(one, F.max("most")).otherwise("cross").alias("category"),
+        most_frequent("tax_path", "n").alias("tax_path"),
+        F.round(F.sum("low") / F.nullif(F.sum("stars"), F.lit(0)), 4).alias("low_star_rate"),
     )
 
 
+def folded(rows: DataFrame, raw: Column, name: str) -> DataFrame:
+    """``rows`` with the folded text of ``raw``. Each distinct text is folded once, in Python, and joined back."""
+    keyed = rows.withColumn("_raw", raw)
+    names = keyed.select("_raw").distinct().select(F.col("_raw").alias("_text"), bucket_value(F.col("_raw")).alias(name))
+    return keyed.join(names, F.col("_raw").eqNullSafe(F.col("_text")), "left").drop("_raw", "_text")
+
+
+def most_frequent(value: str, n: str) -> Column:
+    """The value with the largest count, ties by value, of rows that each hold a value's count: counting by value first keeps
+    what an aggregate holds to one value. Null is no value."""
+    return F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(-F.col(n), F.col(value))))
+
+
 def low_star_rate(star: str) -> Column:
     stars = F.col(star)
     return F.round(F.avg(F.when(stars <= 2, 1.0).when(stars.isNotNull(), 0.0)), 4)
@@ -171,7 +186,8 @@ def by_spu(opp_evidence: DataFrame) -> DataFrame:
 
 
 def spu_issue(opp_evidence: DataFrame, least: int = 2) -> DataFrame:
-    rows = by_spu(opp_evidence).groupBy("spu", "opp_id").agg(F.count(F.lit(1)).alias("evi_count"), F.expr("mode() WITHIN GROUP (ORDER BY tax_path)").alias("tax_path"), F.min("attach_week").alias("first_attach_week"), F.max("attach_week").alias("last_attach_week"))
+    paths = by_spu(opp_evidence).groupBy("spu", "opp_id", "tax_path").agg(F.count(F.lit(1)).alias("n"), F.min("attach_week").alias("first"), F.max("attach_week").alias("last"))
+    rows = paths.groupBy("spu", "opp_id").agg(F.sum("n").alias("evi_count"), most_frequent("tax_path", "n").alias("tax_path"), F.min("first").alias("first_attach_week"), F.max("last").alias("last_attach_week"))
     return rows.where(F.col("evi_count") >= least)
 
 

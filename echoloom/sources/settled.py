@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Domain tables already written: (application, folder of the source tables, name) to path.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Domain tables already written: (application, folder of the source tables, its files, name) to path.
+_WRITTEN: dict[tuple[str, str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +29,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listing(spark: SparkSession, source: str) -> str:
+    """What a folder of tables holds: names, sizes and times of its files, one level of folders deep."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for table in fs.listStatus(path):
+        for f in fs.listStatus(table.getPath()) if table.isDirectory() else [table]:
+            found.append(f"{table.getPath().getName()}/{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return "\n".join(sorted(found))
+
+
 def stored(spark: SparkSession, source: str, name: str, build) -> DataFrame:
-    """The domain table ``name`` over the tables in ``source``, built and written once per application."""
-    key = (spark.sparkContext.applicationId, source, name)
+    """The domain table ``name`` over the tables in ``source``, built and written once per application and state of their files."""
+    key = (spark.sparkContext.applicationId, source, listing(spark, source), name)
     if key not in _WRITTEN:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
