@@ -100,7 +100,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_hit counts the words of a document inside any occurrence of a window, n_items the items with an occurring
     window, items_sha256 their ids, sorted as strings and comma-joined; n_near counts the distinct windows with a
     proximity match (their two rarest terms within ``slack`` of their distance), exact ones included. Null or empty texts have no words and no
-    hits; without items nothing is hit. Items with the same id are one item. Equal rows have equal results.
+    hits; without items nothing is hit. Items with the same id are one item. Equal rows have equal results;
+    an empty table gives an empty result. Other columns are not read.
     """
     windows, owners = item_windows(items, item_col, item_text_col, size)
     index = build_index(docs, windows.select(F.explode("words").alias("term")), id_col, text_col)

@@ -172,7 +172,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     falling id, after the last one that of the first; rows with one id follow each other by the hash of their text.
     near_edited and near_next compare the fingerprint with the edit's and with the next text's. A single text is
     its own next. Null text is empty, null ids come last, repeated rows each get a row, an empty table an empty
-    result. Ids must be whole numbers, as the order of ids is that of numbers.
+    result. Ids must be whole numbers, as the order of ids is that of numbers. Other columns are not read.
 
     Rows are dealt into bins of consecutive ids; the first row of a bin also goes to the bin before it, so that
     each row meets its next one in a window over one bin. Texts are shuffled once; words are counted and draws

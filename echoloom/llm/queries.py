@@ -68,6 +68,8 @@ SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = com
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels tell toxic texts from others and say nothing of severity: grade 1 is a toxic text, grade 2 one that is labelled as of
+    low quality too. Where no label is of grade 2, the model has one cut and is a logistic regression."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
 

@@ -334,7 +334,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text included; overlaps count, strings are judged on the input, and none crosses texts. ``kept`` are the
     remaining bytes (a cut may split a character). Null text is empty; texts shorter than ``length`` stay whole;
     rows that agree in id and text are copies of each other like any two rows. Strings are compared by their bytes
-    or by 128-bit hashes. Empty tables give empty results.
+    or by 128-bit hashes. Empty tables give empty results; other columns are not read.
     """
     spans = repeated_spans(docs, id_col, text_col, length, gram)
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -18,8 +18,8 @@ SLOTS = 1 << 20
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
 SAMPLE = 10_000
 #: Slots that enter the model: in at least so many sampled texts, and so many deviations more or less often in toxic
-#: ones than by chance; of those, the most deviating.
-SEEN, DEVIATION, KEPT = 4, 5.0, 1_000
+#: ones than by chance. All of them do.
+SEEN, DEVIATION = 4, 5.0
 #: A document is toxic from this probability of grade 1 or more on.
 CUT = 0.5
 
@@ -54,7 +54,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(offsets: np.ndarray, flat: np.ndarray, grades: np.ndarray, kept: int = KEPT, rounds: int = 300, decay: float = 3e-4) -> OrdinalModel:
+def fit(offsets: np.ndarray, flat: np.ndarray, grades: np.ndarray, rounds: int = 300, decay: float = 3e-4) -> OrdinalModel:
     """Full-batch Adam on the mean negative log-likelihood with weight decay. ``flat[offsets[i]:offsets[i + 1]]``: row i's slots.
 
     ``grades``: 0 not toxic, 1 and more toxic, rising with severity. Grades that no row has are left out, so the
@@ -69,8 +69,7 @@ def fit(offsets: np.ndarray, flat: np.ndarray, grades: np.ndarray, kept: int = K
     seen, with_toxic = np.bincount(flat, minlength=SLOTS), np.bincount(flat, weights=toxic[rows].astype(float), minlength=SLOTS)
     rate = toxic.mean()
     score = np.where(seen >= SEEN, (with_toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9), 0)
-    slots = np.argsort(-np.abs(score), kind="stable")[:kept]
-    slots = np.sort(slots[np.abs(score[slots]) >= DEVIATION])
+    slots = np.flatnonzero(np.abs(score) >= DEVIATION)
     place = np.full(SLOTS, -1, "int32")
     place[slots] = np.arange(len(slots))
     top = int(grades.max())
@@ -105,7 +104,10 @@ def severity_grade() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grade: Column | None = None) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled rows, in one executor task; the driver gets the few kept weights.
+    """Fit on at most ``sample`` labelled rows; the driver gets the kept weights.
+
+    Slots are counted by Spark, and those that deviate enough go to the one task that fits the model: of a text, however
+    long, it gets the kept slots that occur in it.
 
     The severity grade of a label is ``grade``: as labels say no more of severity than toxic and quality, it is 0
     where toxic is 0, 1 where it is 1, and 2 where the toxic text is of low quality (0) too. Labels with null id or
@@ -117,6 +119,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = join_checked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "id", "inner").select("id", features(F.col("text")).alias("slots"), "grade")
     # Repeated ids could bring more rows than labels were chosen.
     rows = settle(rows, "label-rows").orderBy(F.xxhash64("id"), "id", F.xxhash64("slots"), "grade").limit(sample)
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "label-chosen")
+    n, toxic = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
+    rate = toxic / n if n else 0.0
+    each = rows.select("row", (F.col("grade") > 0).alias("toxic"), F.explode("slots").alias("slot"))
+    seen = each.groupBy("slot").agg(F.count(F.lit(1)).alias("seen"), F.count_if("toxic").alias("with"))
+    deviation = (F.col("with") - F.col("seen") * rate) / F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1e-9)
+    # A hair less than the bound here, as fit() applies it once more.
+    kept = settle(seen.where((F.col("seen") >= SEEN) & (F.abs(deviation) >= DEVIATION * (1 - 1e-9))).select("slot"), "label-slots")
+    held = join_checked(each.select("row", "slot"), kept, "slot", "inner").groupBy("row").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    rows = rows.select("row", "grade").join(held, "row", "left").select("row", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"), "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, flat, grades = [np.zeros(1, "int64")], [np.zeros(0, "int32")], []
@@ -129,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         names = [*model.slots.tolist(), *range(-1, -1 - len(model.cuts), -1)]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([*model.weights.tolist(), *model.cuts.tolist()], pa.float64())], names=["slot", "weight"])
 
-    found = {r["slot"]: r["weight"] for r in rows.repartition(1).mapInArrow(run, "slot long, weight double").collect()}
+    found = {r["slot"]: r["weight"] for r in rows.repartition(1).sortWithinPartitions("row").mapInArrow(run, "slot long, weight double").collect()}
     slots = sorted(k for k in found if k >= 0)
     return OrdinalModel(np.array(slots, "int64"), np.array([found[k] for k in slots]), np.array([found[k] for k in sorted((k for k in found if k < 0), reverse=True)]))
 
