@@ -22,7 +22,8 @@ from echoloom.llm.toxicity import score, train
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the severity model, fitted on ``labels``, calls toxic.
 
-    A null text is not toxic. Equal rows are judged alike, so all of them stay or all go; no ties arise.
+    A null text is not toxic. Equal rows are judged alike, so all of them stay or all go; no ties arise. An empty table stays
+    empty, and without labels nothing goes.
     """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).where(~F.col("toxic")).select(docs.columns)
@@ -31,7 +32,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows removed. n_chars follows the text; emptied documents stay.
 
-    Of equal windows the one with the smallest (id, line) is first; of rows with equal id and text one keeps its lines.
+    Of equal windows the one with the smallest (id, line) is first; of rows with equal id and text one keeps its lines. An
+    empty table stays empty.
     """
     out = line_dedup(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
@@ -55,7 +57,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each token of the remaining documents goes. Equal rows are packed each; ties among pieces go by id and place."""
+    """Where each token of the remaining documents goes. Equal rows are packed each; ties among pieces go by id and place; an
+    empty table gives no pieces."""
     return pack(docs)
 
 
