@@ -187,7 +187,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     here = F.struct("range", "bin", F.lit(0).alias("guest"))
     there = F.struct(F.col("to_range").alias("range"), F.col("to_bin").alias("bin"), F.lit(1).alias("guest"))
     placed = join_checked(placed, bins, ["range", "bin"], "inner").select("given", "id", "key", "text", F.explode(F.when(head, F.array(here, there)).otherwise(F.array(here))).alias("at"))
-    placed = placed.select("at.range", "at.bin", "at.guest", "given", "id", "key", "text")
+    # Never null; said here, below the one exchange of texts, as a join further up would say it of one of its two looks only.
+    placed = placed.select("at.range", "at.bin", "at.guest", "given", "id", "key", "text").where("range IS NOT NULL AND bin IS NOT NULL")
 
     following = Window.partitionBy("range", "bin").orderBy("guest", F.desc("id"), F.desc("key"))
     placed = placed.withColumns({"row": F.row_number().over(following), "next": F.lead("text").over(following), "n_chars": F.length("text")})
