@@ -41,7 +41,7 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
 
 
 def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
-    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): an array of ``count`` samples of 16 bits.
+    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): an array of ``count`` samples of 16 bits, as short numbers.
 
     Draw i samples consistently: a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of
     its hash and i; t = floor(ln w / r + b), and the term with the smallest a = c exp(-r (t - b) - r) is drawn. Two
@@ -98,14 +98,14 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
 
     # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
     least = rows.groupBy(*by, "draw").agg(*[draw(k) for k in range(len(weights))])
-    codes = [F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)).cast("int").alias(f"p{k}") for k in range(len(weights))]
+    codes = [(F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)) - (1 << 15)).cast("short").alias(f"p{k}") for k in range(len(weights))]
     parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("draw", *codes))).alias("parts"))
     return parts.select(*by, *[F.col(f"parts.p{k}").alias(name) for k, name in enumerate(prints.values())])
 
 
 def text_of(draws: Column) -> Column:
     """A fingerprint as text: four hex digits a draw."""
-    return F.array_join(F.transform(draws, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
+    return F.array_join(F.transform(draws, lambda x: F.lpad(F.lower(F.hex(x.cast("int") + (1 << 15))), 4, "0")), "")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
