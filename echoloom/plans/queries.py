@@ -439,4 +439,5 @@ from . import more as _more  # noqa: E402, F401
 from . import neighbours as _neighbours  # noqa: E402, F401
 from . import refreshed as _refreshed  # noqa: E402, F401
 from . import search as _search  # noqa: E402, F401
+from . import streams as _streams  # noqa: E402, F401
 from . import views as _views  # noqa: E402, F401
