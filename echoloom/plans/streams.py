@@ -15,9 +15,9 @@ from .queries import query
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-@query("""SELECT user_id, event_type AS status, at AS updated, at + INTERVAL 2 DAY AS due FROM (
- SELECT user_id, event_type, at, lead(at) OVER (PARTITION BY user_id ORDER BY at, event_type) AS next_at, max(at) OVER () AS newest FROM (SELECT user_id, event_type, date_trunc('millisecond', ts) AS at FROM events WHERE ts IS NOT NULL))
- WHERE event_type IN ('purchase', 'signup') AND coalesce(next_at, newest) > at + INTERVAL 2 DAY""", plain=True)
+@query("""SELECT user_id, event_type AS status, told AS updated, told + INTERVAL 2 DAY AS due FROM (
+ SELECT user_id, event_type, told, lead(told) OVER (PARTITION BY user_id ORDER BY told, event_type) AS next_told, max(told) OVER () AS newest FROM (SELECT user_id, event_type, date_trunc('millisecond', ts) AS told FROM events WHERE ts IS NOT NULL))
+ WHERE event_type IN ('purchase', 'signup') AND coalesce(next_told, newest) > told + INTERVAL 2 DAY""", plain=True)
 def stale_users(s, d):
     """Users without an event for two days after a purchase or signup: a stream over the table, run to its end, timers included."""
     # A pattern, as the source of a stream takes a plain path for a folder, and the table may be one file.
