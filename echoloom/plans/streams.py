@@ -1,4 +1,4 @@
-"""Queries that run a stream to its end, and the tracing of quotes, with their DuckDB twins."""
+"""Queries of a stream run to its end, of traced quotes and of fitted intents, with their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import intent_model as N
+from ..operators import manage as M
 from ..operators import quotes as Q
 from ..sources.fixtures import evidence, message, read
 from ..sources.settled import shared_dir
@@ -47,3 +49,25 @@ def quote_tracing(s, d):
     text = F.concat(F.lit("“"), F.coalesce("snippet", F.lit("")), F.lit("、"), F.coalesce("content", F.lit("")), F.lit("”"))
     claims = rows.select(F.concat_ws("-", F.col("message_id").cast("string"), F.col("seq").cast("string")).alias("claim"), "tag", text.alias("text"))
     return Q.untraced(claims, rows.where("is_product"), "claim", "tag", "text", ["snippet", "content"])
+
+
+_FEATURES = r"""feats AS (SELECT doc_id, unnest(list_distinct(list_concat(ws, flatten(list_transform(list_filter(ws, lambda w: regexp_matches(w, '[^\x00-\x7F]')), lambda w: list_transform(generate_series(1, greatest(length(w) - 1, 1)), lambda i: '#' || substr(w, i, 2))))))) AS f
+ FROM (SELECT doc_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM documents))"""
+_CLASSES = ("gap", "other")
+
+
+@query(f"""WITH {_FEATURES}, told AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'gap' ELSE 'other' END AS label FROM labels JOIN documents USING (doc_id)),
+tallied AS (SELECT f, count(*) FILTER (label = 'gap') AS g, count(*) FILTER (label = 'other') AS o FROM feats JOIN told USING (doc_id) GROUP BY f),
+shares AS (SELECT sum(g)::DOUBLE / sum(g + o) AS sg, sum(o)::DOUBLE / sum(g + o) AS so FROM tallied),
+counts AS (SELECT f, g, o FROM tallied, shares WHERE (g - (g + o) * sg) ** 2 >= 25 * (g + o) * sg OR (o - (g + o) * so) ** 2 >= 25 * (g + o) * so),
+priors AS (SELECT ln((count(*) FILTER (label = 'gap') + 1) / (count(*) + 2)) AS pg, ln((count(*) FILTER (label = 'other') + 1) / (count(*) + 2)) AS po FROM told),
+scores AS (SELECT doc_id, count(g) AS m, sum(ln(1 + g) - ln(1 + (g + o) * sg)) + any_value(pg) AS a, sum(ln(1 + o) - ln(1 + (g + o) * so)) + any_value(po) AS b
+ FROM documents d LEFT JOIN feats USING (doc_id) LEFT JOIN counts USING (f), shares, priors GROUP BY doc_id),
+judged AS (SELECT doc_id, CASE WHEN m = 0 OR b > a THEN 'other' ELSE 'gap' END AS intent, round(CASE WHEN m = 0 THEN 0 ELSE 1 / (1 + exp(-least(abs(a - b), 700))) END, 6)::DOUBLE AS confidence FROM scores)
+SELECT doc_id, intent, confidence, intent = 'gap' AND confidence >= 0.4 AS passes, intent = 'gap' AND confidence >= 0.4 AND confidence < 0.6 AS needs_review FROM judged""", plain=True)
+def fitted_intent(s, d):
+    """The gate behind a classifier that is fitted on all labelled documents; their label stands for the intent."""
+    docs = read(s, d, "documents").select("doc_id", "text")
+    told = docs.join(read(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "gap").otherwise("other").alias("label")), "doc_id")
+    model = N.fit(told, "text", "label", _CLASSES)
+    return M.intent_gate(N.classify(docs, "doc_id", "text", model), F.col("found")).drop("found")
