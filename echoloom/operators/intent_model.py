@@ -69,11 +69,12 @@ def classify(rows: DataFrame, id_col: str, text_col: str, model: IntentModel) ->
     nothing. Of equal classes the one named first is taken. With weights beyond the broadcast a frequent word is one key of
     many rows, which the adaptive skew join splits.
     """
-    distinct = rows.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("key")).dropDuplicates(["id", "key"])
-    each = distinct.select("id", "key", F.explode_outer(features(F.col("text"))).alias("feature"))
+    # One null beside a row's features: it keeps rows without any, and counts how often equal rows repeat, so texts need no exchange.
+    marked = F.concat(F.array(F.lit(None).cast("string")), features(F.col(text_col)))
+    each = rows.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("key"), F.explode(marked).alias("feature"))
     weights = F.broadcast(model.weights) if model.features <= BROADCAST_FEATURES else model.weights
-    found = each.join(weights, "feature", "left").groupBy("id", "key").agg(F.count("w").alias("m"), *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(model.classes))])
-    scores = F.array(*[F.struct((F.col(f"s{i}") + p).alias("score"), F.lit(-i).alias("first"), F.lit(c).alias("intent")) for i, (c, p) in enumerate(zip(model.classes, model.prior))])
+    found = each.join(weights, "feature", "left").groupBy("id", "key").agg(F.count("w").alias("m"), F.count(F.when(F.col("feature").isNull(), 1)).alias("n"), *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(model.classes))])
+    scores = F.array(*[F.struct((F.col(f"s{i}") / F.col("n") + p).alias("score"), F.lit(-i).alias("first"), F.lit(c).alias("intent")) for i, (c, p) in enumerate(zip(model.classes, model.prior))])
     best = F.array_max(scores)
     share = 1 / F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x["score"] - best["score"]))
     none = F.col("m") == 0

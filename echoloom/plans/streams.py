@@ -54,6 +54,8 @@ def quote_tracing(s, d):
 _FEATURES = r"""feats AS (SELECT doc_id, unnest(list_distinct(list_concat(ws, flatten(list_transform(list_filter(ws, lambda w: regexp_matches(w, '[^\x00-\x7F]')), lambda w: list_transform(generate_series(1, greatest(length(w) - 1, 1)), lambda i: '#' || substr(w, i, 2))))))) AS f
  FROM (SELECT doc_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM documents))"""
 _CLASSES = ("gap", "other")
+#: Labels (two short columns) are broadcast up to so many; beyond, the texts are exchanged.
+MOST_BROADCAST = 500_000
 
 
 @query(f"""WITH {_FEATURES}, told AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'gap' ELSE 'other' END AS label FROM labels JOIN documents USING (doc_id)),
@@ -68,6 +70,8 @@ SELECT doc_id, intent, confidence, intent = 'gap' AND confidence >= 0.4 AS passe
 def fitted_intent(s, d):
     """The gate behind a classifier that is fitted on all labelled documents; their label stands for the intent."""
     docs = read(s, d, "documents").select("doc_id", "text")
-    told = docs.join(read(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "gap").otherwise("other").alias("label")), "doc_id")
+    labels = read(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "gap").otherwise("other").alias("label"))
+    few = labels.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    told = docs.join(F.broadcast(labels) if few else labels, "doc_id")
     model = N.fit(told, "text", "label", _CLASSES)
     return M.intent_gate(N.classify(docs, "doc_id", "text", model), F.col("found")).drop("found")
