@@ -19,7 +19,9 @@ GRAM = 48
 #: Windows of a text that are looked at together, so that a very long text needs no more memory.
 CHUNK = 1 << 22
 #: Bytes of contexts refined together in a task.
-REFINED = 1 << 22
+REFINED = 1 << 20
+#: Positions that are sorted together there: what sorting takes beside them does not grow with the contexts.
+SORTED = 1 << 20
 #: Contexts of an anchor that are refined in one task (7 MB of them). Anchors with more are refined the same way, but over
 #: all tasks, round by round.
 HOT_CONTEXTS = 20_000
@@ -135,38 +137,46 @@ def refine(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     ``ends[p]`` is the end of the piece that holds p. Positions are put in buckets by their first 8 bytes. Then,
     again and again, each bucket is split by sorting on the buckets of the positions ``depth`` bytes later, which
     the last round has already refined, so the depth doubles. A position alone in its bucket is settled and sorted
-    no more.
+    no more. Takes some 30 bytes of memory for one of ``data``, which must be under 2 GB.
     """
-    n = len(data)
-    room = ends - np.arange(n)
-    bucket = np.full(n, -1, "int64")
-    alive = np.flatnonzero(room >= min(8, length))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    depth = min(8, length)
-    grams = np.zeros(n, np.uint64)
-    for j in range(depth):
-        grams |= padded[j : j + n].astype(np.uint64) << _U64(8 * j)
+    ends = ends.astype("int32", copy=False)
+    n, depth = len(data), min(8, length)
+    alive = np.flatnonzero(ends - np.arange(n, dtype="int32") >= depth).astype("int32")
+    # A look at the 8 bytes from each position on, without a copy of all.
+    by = np.ndarray(n, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))[alive]
+    if depth < 8:
+        by &= _U64((1 << (8 * depth)) - 1)
+    bucket = np.empty(n, "int32")
 
     def deal(at: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """New buckets for the positions ``at``; returns those that are not alone."""
-        order = np.argsort(by, kind="stable")
-        ranked = by[order]
-        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(by) else np.zeros(0, bool)
-        number = np.cumsum(fresh) - 1
-        sizes = np.bincount(number, minlength=1) if len(by) else np.zeros(1, "int64")
-        bucket[at] = -1
-        shared = sizes[number] > 1
-        bucket[at[order[shared]]] = number[shared]
-        return np.sort(at[order[shared]])
-
-    alive = deal(alive, grams[alive])
+        """New buckets for the positions ``at``; returns those that are not alone.
+
+        Equal values of ``by`` fall in one share, and shares of about SORTED positions are sorted one after the other.
+        """
+        bucket.fill(-1)
+        shares, share = min(255, 1 + len(by) // SORTED), np.zeros(len(by), np.uint8)
+        for i in range(0, len(by) if shares > 1 else 0, SORTED):
+            share[i : i + SORTED] = (_mix(by[i : i + SORTED]) >> _U64(40)) % _U64(shares)
+        dealt = 0
+        for k in range(shares):
+            own = np.flatnonzero(share == k)
+            own = own[np.argsort(by[own], kind="stable")]
+            ranked = by[own]
+            fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(own) else np.zeros(0, bool)
+            number = np.cumsum(fresh) - 1
+            shared = np.bincount(number, minlength=1)[number] > 1
+            bucket[at[own[shared]]] = number[shared] + dealt
+            dealt += len(own)
+        return at[bucket[at] >= 0]
+
+    alive = deal(alive, by)
     while depth < length and len(alive):
         step = min(depth, length - depth)
-        alive = alive[room[alive] >= depth + step]
-        later = bucket[alive + step]
-        alive, later = alive[later >= 0], later[later >= 0]
-        by = bucket[alive].astype(np.uint64) << _U64(32) | later.astype(np.uint64)
-        bucket = np.full(n, -1, "int64")
+        alive = alive[ends[alive] - alive >= depth + step]
+        alive = alive[bucket[alive + step] >= 0]
+        by = bucket[alive].astype(np.uint64)
+        by <<= _U64(32)
+        by |= bucket[alive + step].view("uint32")
         alive = deal(alive, by)
         depth += step
     repeated = np.zeros(n, bool)
@@ -199,14 +209,14 @@ def refine_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
     held = 0
 
     def run() -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(parts), np.uint8)
         bounds = np.cumsum([0, *map(len, parts)])
-        again = refine(data, np.repeat(bounds[1:], np.diff(bounds)), length)
-        hits = np.flatnonzero(again)
-        owner = np.searchsorted(bounds, hits, "right") - 1
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        parts.clear()
+        hits = np.flatnonzero(refine(data, np.repeat(bounds[1:].astype("int32"), np.diff(bounds)), length))
+        cuts = np.searchsorted(hits, bounds)
         names, spans = [], []
-        for i in np.unique(owner).tolist():
-            own = hits[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")] - bounds[i]
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            own = hits[cuts[i] : cuts[i + 1]] - bounds[i]
             names.append(keys[i])
             spans.append(merged(own, own + length))
         return _span_rows(names, spans)
@@ -216,7 +226,8 @@ def refine_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         for k, x, y, b in zip(akey, c1, c2, batch.column(3).to_pylist(), strict=True):
             if held >= REFINED and k != keys[-1][0]:
                 yield run()
-                keys, parts, held = [], [], 0
+                keys.clear()
+                held = 0
             keys.append((k, x, y))
             parts.append(b)
             held += len(b)
