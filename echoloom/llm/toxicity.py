@@ -103,6 +103,22 @@ def severity_grade() -> Column:
     return F.when(F.col("toxic").cast("int") > 0, F.when(low, 2).otherwise(1)).when(F.col("toxic").isNotNull(), 0)
 
 
+def only(slots: Column, kept: DataFrame) -> Column:
+    """Those of a row's ``slots`` that are in the settled table ``kept`` (slot), filtered where the row is. The driver gets at most SLOTS numbers."""
+    mask = np.zeros(SLOTS, bool)
+    mask[[r["slot"] for r in kept.toLocalIterator()]] = True
+    mask = kept.sparkSession.sparkContext.broadcast(mask)
+
+    @arrow_udf("array<int>")
+    def held(slots: pa.Array) -> pa.Array:
+        flat = slots.flatten().to_numpy()
+        hit = mask.value[flat]
+        ends = np.concatenate([[0], np.cumsum(hit)])[slots.offsets.to_numpy() - slots.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[hit], pa.int32()))
+
+    return held(slots)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grade: Column | None = None) -> OrdinalModel:
     """Fit on at most ``sample`` labelled rows; the driver gets the kept weights.
 
@@ -127,8 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     deviation = (F.col("with") - F.col("seen") * rate) / F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1e-9)
     # A hair less than the bound here, as fit() applies it once more.
     kept = settle(seen.where((F.col("seen") >= SEEN) & (F.abs(deviation) >= DEVIATION * (1 - 1e-9))).select("slot"), "label-slots")
-    held = join_checked(each.select("row", "slot"), kept, "slot", "inner").groupBy("row").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    rows = rows.select("row", "grade").join(held, "row", "left").select("row", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"), "grade")
+    rows = rows.select("row", F.array_sort(only(F.col("slots"), kept)).alias("slots"), "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, flat, grades = [np.zeros(1, "int64")], [np.zeros(0, "int32")], []
