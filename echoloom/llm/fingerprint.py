@@ -40,18 +40,10 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
     return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()])
 
 
-def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
-    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): an array of ``count`` samples of 16 bits, as short numbers.
-
-    Draw i samples consistently: a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of
-    its hash and i; t = floor(ln w / r + b), and the term with the smallest a = c exp(-r (t - b) - r) is drawn. Two
-    texts draw the same (term, t) with the probability of their generalised Jaccard similarity.
+def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
+    """``by``, draw, h0 and t and a (t0, a0, ...) for each column of weights: the terms that may win a draw, see ``samples``.
 
-    With r = -ln u - ln v and b = ln v / (ln u + ln v) of two uniforms, r is Gamma(2, 1), b uniform and independent
-    of r, and a = c u (u v)^t, where t counts the j >= 0 with w u (u v)^j >= 1: of most words t is 0 without any
-    logarithm. A term's a is exponential with its weight as the rate, so of long texts few terms can win a draw, and
-    the rest goes before the logarithm of c. a and the code of the drawn pair are packed in one long, so a draw is a
-    plain minimum, combined before any shuffle.
+    About MISSED of them for each draw of a text, and the term without weights.
     """
     each = min(TOGETHER, count)
     if count % each:
@@ -71,13 +63,14 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
     rows = rows.select(*carried, (F.col("block") * each + F.col("i")).alias("draw"), F.xxhash64("seed", F.col("i") * 2).alias("h0"), F.xxhash64("seed", F.col("i") * 2 + 1).alias("h1"))
     # -ln(u v) of two uniforms is Gamma(2, 1).
     rows = rows.select(*carried, "draw", "h0", uniform("h0", 0).alias("u"), uniform("h0", 32).alias("v"), (uniform("h1", 0) * uniform("h1", 32)).alias("x"), F.spark_partition_id().alias("task"))
-    # Most terms cannot win a draw, as -ln x is 1 - x at least: they go before any logarithm. Terms whose t is not 0 stay,
-    # and the term without weights, which keeps the row of every draw.
+    # Most terms cannot win a draw, as -ln x is 1 - x at least: they go before any logarithm. Where t is not 0, u (u v)^t is
+    # u v / w at least, as t is the first step under 1 / w. The term without weights stays, and keeps the row of every draw.
     blank = F.lit(True)
     may_win = F.lit(False)
     for w, limit in zip(weights, limits, strict=True):
         blank = blank & F.col(w).isNull()
-        may_win = may_win | (F.col(w).isNotNull() & ((F.col(w) * F.col("u") >= 1) | ((1 - F.col("x")) * F.col("u") <= F.col(limit))))
+        least = F.when(F.col(w) * F.col("u") >= 1, F.col("u") * F.col("v") / F.col(w)).otherwise(F.col("u"))
+        may_win = may_win | (F.col(w).isNotNull() & ((1 - F.col("x")) * least <= F.col(limit)))
     # The task's number, never negative, keeps the optimizer from moving the filter below the hashes, where it would
     # compute each of them once for every use.
     rows = rows.where(may_win | blank | (F.col("task") < 0))
@@ -89,16 +82,42 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
 
     rows = rows.select(*by, *limits, "draw", "h0", "q", "a", *[steps(w).alias(f"t{k}") for k, w in enumerate(weights)])
 
-    def draw(k: int) -> Column:
+    def value(k: int) -> Column:
         t, q = F.col(f"t{k}"), F.col("q")
-        a = F.col("a") * F.when(t == 0, F.lit(1.0)).when(t == 1, q).otherwise(F.pow(q, t))
+        return F.col("a") * F.when(t == 0, F.lit(1.0)).when(t == 1, q).otherwise(F.pow(q, t))
+
+    # The bound once more, on the values themselves: fewer rows reach the aggregate.
+    rows = rows.select(*by, *limits, "draw", "h0", *[f"t{k}" for k in range(len(weights))], *[value(k).alias(f"a{k}") for k in range(len(weights))], F.spark_partition_id().alias("task"))
+    within, none = F.col("task") < 0, F.lit(True)
+    for k, limit in enumerate(limits):
+        within, none = within | F.coalesce(F.col(f"a{k}") <= F.col(limit), F.lit(False)), none & F.col(f"a{k}").isNull()
+    return rows.where(within | none)
+
+
+def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
+    """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): an array of ``count`` samples of 16 bits, as short numbers.
+
+    Draw i samples consistently: a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of
+    its hash and i; t = floor(ln w / r + b), and the term with the smallest a = c exp(-r (t - b) - r) is drawn. Two
+    texts draw the same (term, t) with the probability of their generalised Jaccard similarity.
+
+    With r = -ln u - ln v and b = ln v / (ln u + ln v) of two uniforms, r is Gamma(2, 1), b uniform and independent
+    of r, and a = c u (u v)^t, where t counts the j >= 0 with w u (u v)^j >= 1: of most words t is 0 without any
+    logarithm. A term's a is exponential with its weight as the rate, so of long texts few terms can win a draw, and
+    the rest goes before the logarithm of c. a and the code of the drawn pair are packed in one long, so a draw is a
+    plain minimum, combined before any shuffle.
+    """
+    rows = candidates(words, by, prints, count)
+
+    def draw(k: int) -> Column:
+        t, a = F.col(f"t{k}"), F.col(f"a{k}")
         # The first hash stands for the term; t is small and moved off the bits' low end.
         code = F.col("h0").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
         return F.min(F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)).alias(f"d{k}")
 
     # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
-    least = rows.groupBy(*by, "draw").agg(*[draw(k) for k in range(len(weights))])
-    codes = [(F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)) - (1 << 15)).cast("short").alias(f"p{k}") for k in range(len(weights))]
+    least = rows.groupBy(*by, "draw").agg(*[draw(k) for k in range(len(prints))])
+    codes = [(F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)) - (1 << 15)).cast("short").alias(f"p{k}") for k in range(len(prints))]
     parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("draw", *codes))).alias("parts"))
     return parts.select(*by, *[F.col(f"parts.p{k}").alias(name) for k, name in enumerate(prints.values())])
 
