@@ -26,18 +26,18 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
 
     ``texts`` maps a text column to the name of its weights. Words stand between ASCII white space; a weight is a
     word's number in the text, null where the text lacks the word. Each row also has one term without weights, which
-    draws nothing, so that rows whose texts have no words are not lost. <weights>_limit goes along: what a text's
-    smallest draw exceeds with the probability e^-MISSED only.
+    draws nothing, so that rows whose texts have no words are not lost. <weights>_limit goes along, where there is a
+    weight: what a text's smallest draw exceeds with the probability e^-MISSED only.
     """
-    sizes = [F.size(F.array_remove(F.split(F.coalesce(F.col(t), F.lit("")), SPACE_RUN), "")) for t in texts]
-    limits = [f"{w}_limit" for w in texts.values()]
-    df = df.withColumns({x: F.try_divide(F.lit(MISSED), n.cast("double")) for x, n in zip(limits, sizes, strict=True)})
-    keep = [*keep, *limits]
     bodies = df.select(*keep, F.posexplode(F.array(*texts)).alias("variant", "body"))
-    words = bodies.select(*keep, "variant", F.explode(F.concat(F.split(F.coalesce("body", F.lit("")), SPACE_RUN), F.array(F.lit(None).cast("string")))).alias("word")).where("word IS NULL OR word <> ''")
+    # A projection of its own: a text is split once for its words and for their number.
+    said = bodies.select(*keep, "variant", F.array_remove(F.split(F.coalesce("body", F.lit("")), SPACE_RUN), "").alias("said"))
+    limit = F.try_divide(F.lit(MISSED), F.size("said").cast("double")).alias("limit")
+    words = said.select(*keep, "variant", limit, F.explode(F.concat("said", F.array(F.lit(None).cast("string")))).alias("word"))
     counts = [F.count(F.when(F.col("variant") == k, F.col("word"))).alias(w) for k, w in enumerate(texts.values())]
-    counted = words.groupBy(*keep, F.xxhash64("word").alias("term")).agg(*counts)
-    return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()])
+    limits = [F.max(F.when((F.col("variant") == k) & F.col("word").isNotNull(), F.col("limit"))).alias(f"{w}_limit") for k, w in enumerate(texts.values())]
+    counted = words.groupBy(*keep, F.xxhash64("word").alias("term")).agg(*counts, *limits)
+    return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()], *[f"{w}_limit" for w in texts.values()])
 
 
 def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
@@ -56,29 +56,30 @@ def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: i
         return (part.cast("double") + 0.5) * (1 / float(1 << 32))
 
     # Each step is a projection of its own: what a later step names twice is computed once.
-    carried = [*by, *weights, *limits]
-    rows = words.select(*carried, "term", F.explode(F.sequence(F.lit(0), F.lit(count // each - 1))).alias("block"))
+    given = [*by, *weights, *limits]
+    most = F.greatest(*weights, F.lit(1.0))
+    half = F.coalesce(F.greatest(*limits) if len(limits) > 1 else F.col(limits[0]), F.lit(float("inf"))) / 2
+    rows = words.select(*given, "term", most.alias("most"), half.alias("half")).select("*", (1 / F.col("most")).alias("part"))
+    carried = [*given, "most", "part", "half"]
+    rows = rows.select(*carried, "term", F.explode(F.sequence(F.lit(0), F.lit(count // each - 1))).alias("block"))
     rows = rows.select(*carried, "block", F.xxhash64("term", "block").alias("seed"))
     rows = rows.select(*carried, "block", "seed", F.explode(F.array(*map(F.lit, range(each)))).alias("i"))
-    rows = rows.select(*carried, (F.col("block") * each + F.col("i")).alias("draw"), F.xxhash64("seed", F.col("i") * 2).alias("h0"), F.xxhash64("seed", F.col("i") * 2 + 1).alias("h1"))
+    rows = rows.select(*carried, (F.col("block") * each + F.col("i")).alias("draw"), F.xxhash64("seed", F.shiftleft("i", 1)).alias("h0"), F.xxhash64("seed", F.shiftleft("i", 1).bitwiseOR(F.lit(1))).alias("h1"))
     # -ln(u v) of two uniforms is Gamma(2, 1).
     rows = rows.select(*carried, "draw", "h0", uniform("h0", 0).alias("u"), uniform("h0", 32).alias("v"), (uniform("h1", 0) * uniform("h1", 32)).alias("x"), F.spark_partition_id().alias("task"))
-    # Most terms cannot win a draw, as -ln x is 1 - x at least: they go before any logarithm. Where t is not 0, u (u v)^t is
-    # u v / w at least, as t is the first step under 1 / w. The term without weights stays, and keeps the row of every draw.
-    blank = F.lit(True)
-    may_win = F.lit(False)
-    for w, limit in zip(weights, limits, strict=True):
-        blank = blank & F.col(w).isNull()
-        least = F.when(F.col(w) * F.col("u") >= 1, F.col("u") * F.col("v") / F.col(w)).otherwise(F.col("u"))
-        may_win = may_win | (F.col(w).isNotNull() & ((1 - F.col("x")) * least <= F.col(limit)))
+    # Most terms cannot win a draw, as -ln x is 2 (1 - x) / (1 + x) at least: they go before any logarithm, by one comparison
+    # for all columns. Where t is not 0, u (u v)^t is u v / w at least, as t is the first step under 1 / w; the largest weight
+    # and the largest limit hold for every column. The term without weights has no limit, and keeps the row of every draw.
+    least = F.when(F.col("most") * F.col("u") >= 1, F.col("u") * F.col("v") * F.col("part")).otherwise(F.col("u"))
+    may_win = (1 - F.col("x")) * least <= F.col("half") * (1 + F.col("x"))
     # The task's number, never negative, keeps the optimizer from moving the filter below the hashes, where it would
     # compute each of them once for every use.
-    rows = rows.where(may_win | blank | (F.col("task") < 0))
-    rows = rows.select(*carried, "draw", "h0", "u", (F.col("u") * F.col("v")).alias("q"), (-F.log("x") * F.col("u")).alias("a"))
+    rows = rows.where(may_win | (F.col("task") < 0))
+    rows = rows.select(*given, "draw", "h0", "u", (F.col("u") * F.col("v")).alias("q"), (-F.log("x") * F.col("u")).alias("a"))
 
     def steps(w: str) -> Column:
         first = F.col(w) * F.col("u")
-        return F.when(first < 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(first) / -F.log("q")) + 1)
+        return F.when(first < 1, F.lit(0).cast("long")).when(first >= 1, F.floor(F.log(first) / -F.log("q")) + 1)
 
     rows = rows.select(*by, *limits, "draw", "h0", "q", "a", *[steps(w).alias(f"t{k}") for k, w in enumerate(weights)])
 
@@ -118,7 +119,7 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
     # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
     least = rows.groupBy(*by, "draw").agg(*[draw(k) for k in range(len(prints))])
     codes = [(F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)) - (1 << 15)).cast("short").alias(f"p{k}") for k in range(len(prints))]
-    parts = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("draw", *codes))).alias("parts"))
+    parts = least.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("draw", *codes))).alias("parts"))
     return parts.select(*by, *[F.col(f"parts.p{k}").alias(name) for k, name in enumerate(prints.values())])
 
 
