@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, join_checked, join_shuffled, settle, whole
+from .common import discard, is_small, join_checked, join_shuffled, settle, whole
 
 LENGTH = 200
 #: Bytes of an anchor. Of each string of LENGTH bytes, the anchor is the run of GRAM bytes with the smallest hash.
@@ -294,9 +294,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        all tasks where an anchor has too many.
     """
     source = docs.select(*_keys(id_col, text_col), whole(F.col(text_col)).alias("text"))
-    spots = settle(source.mapInArrow(lambda b: find_spots(b, length, gram), _SPOTS), "suffix-spots")
-    common = settle(spots.groupBy("akey").count().where("count > 1").select("akey"), "suffix-anchors")
-    spots = settle(join_shuffled(spots, common, "akey", "left_semi"), "suffix-common")
+    found = settle(source.mapInArrow(lambda b: find_spots(b, length, gram), _SPOTS), "suffix-spots")
+    common = settle(found.groupBy("akey").count().where("count > 1").select("akey"), "suffix-anchors")
+    spots = settle(join_shuffled(found, common, "akey", "left_semi"), "suffix-common")
+    discard(found, common)
     # First of a group in one scan order: all three are of one row.
     runs = settle(spots.groupBy("akey", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"), F.first("length").alias("length")), "suffix-runs")
     several = settle(runs.groupBy("akey").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "suffix-several")
@@ -316,8 +317,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Runs that occur twice come last and whole.
     twice = runs.where("n > 1").select("akey", "c1", "c2", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("length").alias("e"))).alias("spans"))
     covered = settle(spans.unionByName(twice), "suffix-spans")
+    discard(runs, several, border, named, hot)
     placed = join_shuffled(spots, covered, ["akey", "c1", "c2"], "inner").select("k1", "k2", F.transform("spans", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e"))).alias("spans"))
-    return settle(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-covered")
+    out = settle(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-covered")
+    discard(spots, covered)
+    return out
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
