@@ -17,6 +17,11 @@ TOGETHER = 4
 #: A draw of a text whose smallest value exceeds MISSED / number of words (probability e^-40, as that value is
 #: exponential with the number of words as its rate) may be taken from the terms that are left, or be zero.
 MISSED = 40.0
+#: Edited fingerprints are drawn under this share of the limits first. A draw stays open with probability e^-14, and a row with
+#: an open draw in either text (one in 2,300) is drawn once more under the whole limits.
+FIRST_SHARE = 0.35
+#: The draw of a text that has words, but none under its limit: larger than any packed value.
+OPEN = (1 << 63) - 1
 #: Rows that meet in one window, and the ranges of ids whose quantiles the driver asks for.
 BIN_ROWS, RANGES = 256, 256
 
@@ -27,7 +32,8 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
     ``texts`` maps a text column to the name of its weights. Words stand between ASCII white space; a weight is a
     word's number in the text, null where the text lacks the word. Each row also has one term without weights, which
     draws nothing, so that rows whose texts have no words are not lost. <weights>_limit goes along, where there is a
-    weight: what a text's smallest draw exceeds with the probability e^-MISSED only.
+    weight, and with the term without weights if the text has words: what a text's smallest draw exceeds with the
+    probability e^-MISSED only.
     """
     bodies = df.select(*keep, F.posexplode(F.array(*texts)).alias("variant", "body"))
     # A projection of its own: a text is split once for its words and for their number.
@@ -35,15 +41,15 @@ def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> Dat
     limit = F.try_divide(F.lit(MISSED), F.size("said").cast("double")).alias("limit")
     words = said.select(*keep, "variant", limit, F.explode(F.concat("said", F.array(F.lit(None).cast("string")))).alias("word"))
     counts = [F.count(F.when(F.col("variant") == k, F.col("word"))).alias(w) for k, w in enumerate(texts.values())]
-    limits = [F.max(F.when((F.col("variant") == k) & F.col("word").isNotNull(), F.col("limit"))).alias(f"{w}_limit") for k, w in enumerate(texts.values())]
+    limits = [F.max(F.when(F.col("variant") == k, F.col("limit"))).alias(f"{w}_limit") for k, w in enumerate(texts.values())]
     counted = words.groupBy(*keep, F.xxhash64("word").alias("term")).agg(*counts, *limits)
     return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()], *[f"{w}_limit" for w in texts.values()])
 
 
-def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
-    """``by``, draw, h0 and t and a (t0, a0, ...) for each column of weights: the terms that may win a draw, see ``samples``.
+def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES, share: float = 1.0) -> DataFrame:
+    """``by``, the limits, draw, h0 and t and a (t0, a0, ...) for each column of weights: the terms that may win a draw, see ``samples``.
 
-    About MISSED of them for each draw of a text, and the term without weights.
+    About ``share`` * MISSED of them for each draw of a text, and the term without weights. Limits are cut to ``share``.
     """
     each = min(TOGETHER, count)
     if count % each:
@@ -58,8 +64,9 @@ def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: i
     # Each step is a projection of its own: what a later step names twice is computed once.
     given = [*by, *weights, *limits]
     most = F.greatest(*weights, F.lit(1.0))
-    half = F.coalesce(F.greatest(*limits) if len(limits) > 1 else F.col(limits[0]), F.lit(float("inf"))) / 2
-    rows = words.select(*given, "term", most.alias("most"), half.alias("half")).select("*", (1 / F.col("most")).alias("part"))
+    half = F.when(F.coalesce(*weights).isNull(), F.lit(float("inf"))).otherwise(F.greatest(*limits) if len(limits) > 1 else F.col(limits[0])) / 2
+    rows = words.select(*by, *weights, *[(F.col(limit) * share).alias(limit) for limit in limits], "term")
+    rows = rows.select(*given, "term", most.alias("most"), half.alias("half")).select("*", (1 / F.col("most")).alias("part"))
     carried = [*given, "most", "part", "half"]
     rows = rows.select(*carried, "term", F.explode(F.sequence(F.lit(0), F.lit(count // each - 1))).alias("block"))
     rows = rows.select(*carried, "block", F.xxhash64("term", "block").alias("seed"))
@@ -69,7 +76,7 @@ def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: i
     rows = rows.select(*carried, "draw", "h0", uniform("h0", 0).alias("u"), uniform("h0", 32).alias("v"), (uniform("h1", 0) * uniform("h1", 32)).alias("x"), F.spark_partition_id().alias("task"))
     # Most terms cannot win a draw, as -ln x is 2 (1 - x) / (1 + x) at least: they go before any logarithm, by one comparison
     # for all columns. Where t is not 0, u (u v)^t is u v / w at least, as t is the first step under 1 / w; the largest weight
-    # and the largest limit hold for every column. The term without weights has no limit, and keeps the row of every draw.
+    # and the largest limit hold for every column. The term without weights passes every bound, and keeps the row of every draw.
     least = F.when(F.col("most") * F.col("u") >= 1, F.col("u") * F.col("v") * F.col("part")).otherwise(F.col("u"))
     may_win = (1 - F.col("x")) * least <= F.col("half") * (1 + F.col("x"))
     # The task's number, never negative, keeps the optimizer from moving the filter below the hashes, where it would
@@ -95,7 +102,7 @@ def candidates(words: DataFrame, by: list[str], prints: dict[str, str], count: i
     return rows.where(within | none)
 
 
-def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES) -> DataFrame:
+def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int = SAMPLES, share: float = 1.0) -> DataFrame:
     """``by`` and a fingerprint for each column of weights in ``prints`` (weights to name): an array of ``count`` samples of 16 bits, as short numbers.
 
     Draw i samples consistently: a term of weight w has r, c from Gamma(2, 1) and b from U(0, 1), all functions of
@@ -107,18 +114,26 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
     logarithm. A term's a is exponential with its weight as the rate, so of long texts few terms can win a draw, and
     the rest goes before the logarithm of c. a and the code of the drawn pair are packed in one long, so a draw is a
     plain minimum, combined before any shuffle.
+
+    With a ``share`` under 1 fewer terms reach the minimum. What is drawn is the same; a draw of a text with words, of
+    which none stays under the limit, is open and null.
     """
-    rows = candidates(words, by, prints, count)
+    rows = candidates(words, by, prints, count, share)
 
     def draw(k: int) -> Column:
         t, a = F.col(f"t{k}"), F.col(f"a{k}")
         # The first hash stands for the term; t is small and moved off the bits' low end.
         code = F.col("h0").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
-        return F.min(F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)).alias(f"d{k}")
+        packed = F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)
+        # A limit without a value: the term without weights, of a text with words.
+        return F.min(F.when(a.isNotNull(), packed).when(F.col(limits[k]).isNotNull(), F.lit(OPEN))).alias(f"d{k}")
 
     # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
+    limits = [f"{w}_limit" for w in prints]
     least = rows.groupBy(*by, "draw").agg(*[draw(k) for k in range(len(prints))])
-    codes = [(F.coalesce(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)) - (1 << 15)).cast("short").alias(f"p{k}") for k in range(len(prints))]
+    opened = F.lit(None) if share < 1 else F.lit(0)
+    drawn = lambda d: F.when(d.isNull(), F.lit(0)).when(d == OPEN, opened).otherwise(d.bitwiseAND(F.lit(0xFFFF)))
+    codes = [(drawn(F.col(f"d{k}")) - (1 << 15)).cast("short").alias(f"p{k}") for k in range(len(prints))]
     parts = least.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("draw", *codes))).alias("parts"))
     return parts.select(*by, *[F.col(f"parts.p{k}").alias(name) for k, name in enumerate(prints.values())])
 
@@ -185,7 +200,7 @@ def binned(source: DataFrame, bin_rows: int = BIN_ROWS, ranges: int = RANGES) ->
     return placed, settle(linked, "fingerprint-bins")
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES, bin_rows: int = BIN_ROWS) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES, bin_rows: int = BIN_ROWS, share: float = FIRST_SHARE) -> DataFrame:
     """Fingerprints of each text and of an edit of it: (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edit replaces the last floor(n_chars / 3) characters by the first as many (or all) of the next text by
@@ -196,7 +211,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows are dealt into bins of consecutive ids; the first row of a bin also goes to the bin before it, so that
     each row meets its next one in a window over one bin. Texts are shuffled once; words are counted and draws
-    combined within that partitioning.
+    combined within that partitioning. ``share`` changes the cost alone: texts with draws that it leaves open are
+    drawn once more without it.
     """
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must be a whole number: the next text is the one with the next smaller id")
@@ -218,10 +234,19 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Draws are combined under short keys; what else belongs to a row comes from a second look at the shuffled texts.
     # The id is among the keys so that both looks ask for the same columns, and share one exchange.
     by = ["range", "bin", "row", "given"]
-    words = weighted_words(both, {"text": "weight", "edited": "edited_weight"}, by)
-    drawn = samples(words, by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count)
+    place = by[:3]
+    texts = {"text": "weight", "edited": "edited_weight"}
+    first = samples(weighted_words(both, texts, by), by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count, share)
+    # One exchange for the draws themselves and for a look at those left open: the task's number keeps the filter above it.
+    first = first.drop("given").repartition(*place)
+    has_open = F.exists("fingerprint", lambda x: x.isNull()) | F.exists("edited_fingerprint", lambda x: x.isNull())
+    left_open = first.withColumn("task", F.spark_partition_id()).where(has_open | (F.col("task") < 0)).select(*place)
+    # Rare whatever the texts, as hashes decide, and three numbers a row: broadcast, for texts are not shuffled again.
+    again = both.join(F.broadcast(left_open), place)
+    again = samples(weighted_words(again, texts, by), by, {"weight": "again", "edited_weight": "edited_again"}, count).drop("given")
+    drawn = first.join(again, place, "left").select(*place, F.coalesce("again", "fingerprint").alias("fingerprint"), F.coalesce("edited_again", "edited_fingerprint").alias("edited_fingerprint"))
     about = both.select(*by, "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    drawn = about.join(drawn.drop("given"), by[:3])
+    drawn = about.join(drawn, place)
     near = drawn.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("range", "bin").orderBy("row"))).where("guest = 0")
     own, edited, after = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
     return near.select(F.col("given").alias(id_col), "n_chars", "edited_sha256", text_of(own).alias("fingerprint"), text_of(edited).alias("edited_fingerprint"), agreement(own, edited, count).alias("near_edited"), agreement(own, after, count).alias("near_next"))
