@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -17,31 +19,43 @@ TOGETHER = 4
 #: A draw of a text whose smallest value exceeds MISSED / number of words (probability e^-40, as that value is
 #: exponential with the number of words as its rate) may be taken from the terms that are left, or be zero.
 MISSED = 40.0
-#: Edited fingerprints are drawn under this share of the limits first. A draw stays open with probability e^-14, and a row with
-#: an open draw in either text (one in 2,300) is drawn once more under the whole limits.
-FIRST_SHARE = 0.35
+#: Edited fingerprints are drawn under this share of the limits first. A draw stays open with probability e^-12, and a row with
+#: an open draw in either text (one in 320) is drawn once more under the whole limits.
+FIRST_SHARE = 0.3
 #: The draw of a text that has words, but none under its limit: larger than any packed value.
 OPEN = (1 << 63) - 1
 #: Rows that meet in one window, and the ranges of ids whose quantiles the driver asks for.
 BIN_ROWS, RANGES = 256, 256
 
 
-def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
+def weighted_words(df: DataFrame, texts: dict[str, str], keep: list[str], common: str | None = None) -> DataFrame:
     """``keep``, term and its weight in each of the texts, for each distinct word of any of them.
 
     ``texts`` maps a text column to the name of its weights. Words stand between ASCII white space; a weight is a
     word's number in the text, null where the text lacks the word. Each row also has one term without weights, which
     draws nothing, so that rows whose texts have no words are not lost. <weights>_limit goes along, where there is a
     weight, and with the term without weights if the text has words: what a text's smallest draw exceeds with the
-    probability e^-MISSED only.
+    probability e^-MISSED only. ``common`` may name a column with the number of characters that all texts begin with:
+    words in there are looked at once for all of them.
     """
-    bodies = df.select(*keep, F.posexplode(F.array(*texts)).alias("variant", "body"))
+    bodies = df.select(*keep, *[F.coalesce(t, F.lit("")).alias(t) for t in texts], *([common] if common else []))
+    if common:
+        # Up to the last white space, in bytes that all texts really start with.
+        start = F.regexp_extract(F.substring(next(iter(texts)), F.lit(1), F.col(common)), rf"(?s)^.*{SPACE_RUN}", 0)
+        bodies = bodies.select(*keep, *texts, start.alias("start"))
+        same = reduce(lambda a, b: a & b, [F.startswith(F.col(t), F.col("start")) for t in texts])
+        bodies = bodies.select(*keep, *texts, F.when(same, F.col("start")).otherwise(F.lit("")).alias("start"))
+        bodies = bodies.select(*keep, "start", *[F.substring(t, F.length("start") + 1, F.lit((1 << 31) - 1)).alias(t) for t in texts])
+    parts = ["start", *texts] if common else [*texts]
+    #: The parts that make up each text.
+    made_of = {w: [parts.index(t), *([0] if common else [])] for t, w in texts.items()}
     # A projection of its own: a text is split once for its words and for their number.
-    said = bodies.select(*keep, "variant", F.array_remove(F.split(F.coalesce("body", F.lit("")), SPACE_RUN), "").alias("said"))
-    limit = F.try_divide(F.lit(MISSED), F.size("said").cast("double")).alias("limit")
-    words = said.select(*keep, "variant", limit, F.explode(F.concat("said", F.array(F.lit(None).cast("string")))).alias("word"))
-    counts = [F.count(F.when(F.col("variant") == k, F.col("word"))).alias(w) for k, w in enumerate(texts.values())]
-    limits = [F.max(F.when(F.col("variant") == k, F.col("limit"))).alias(f"{w}_limit") for k, w in enumerate(texts.values())]
+    said = bodies.select(*keep, F.transform(F.array(*parts), lambda body: F.array_remove(F.split(body, SPACE_RUN), "")).alias("said"))
+    limits = [F.try_divide(F.lit(MISSED), sum(F.size(F.col("said")[p]) for p in ps).cast("double")).alias(f"{w}_limit") for w, ps in made_of.items()]
+    said = said.select(*keep, *limits, F.posexplode("said").alias("part", "said"))
+    words = said.select(*keep, *[f"{w}_limit" for w in made_of], "part", F.explode(F.concat("said", F.array(F.lit(None).cast("string")))).alias("word"))
+    counts = [F.count(F.when(F.col("part").isin(ps), F.col("word"))).alias(w) for w, ps in made_of.items()]
+    limits = [F.max(F.when(F.col("part").isin(ps), F.col(f"{w}_limit"))).alias(f"{w}_limit") for w, ps in made_of.items()]
     counted = words.groupBy(*keep, F.xxhash64("word").alias("term")).agg(*counts, *limits)
     return counted.select(*keep, "term", *[F.when(F.col(w) > 0, F.col(w).cast("double")).alias(w) for w in texts.values()], *[f"{w}_limit" for w in texts.values()])
 
@@ -125,8 +139,9 @@ def samples(words: DataFrame, by: list[str], prints: dict[str, str], count: int
         # The first hash stands for the term; t is small and moved off the bits' low end.
         code = F.col("h0").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit((1 << 20) - 1))
         packed = F.shiftleft((a * float(1 << 37)).cast("long"), 20).bitwiseOR(code)
-        # A limit without a value: the term without weights, of a text with words.
-        return F.min(F.when(a.isNotNull(), packed).when(F.col(limits[k]).isNotNull(), F.lit(OPEN))).alias(f"d{k}")
+        # A row that is kept for the other text says nothing of this one: smaller values over this limit are gone. The
+        # term without weights has the limit alone, if the text has words.
+        return F.min(F.when(a <= F.col(limits[k]), packed).when(F.col(limits[k]).isNotNull(), F.lit(OPEN))).alias(f"d{k}")
 
     # Words that a text lacks have a null weight there, so a text without words draws nothing: zeros.
     limits = [f"{w}_limit" for w in prints]
@@ -230,20 +245,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = placed.withColumns({"row": F.row_number().over(following), "next": F.lead("text").over(following), "n_chars": F.length("text")})
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - cut), F.substring("next", F.lit(1), cut))
-    both = placed.select("range", "bin", "row", "guest", "given", F.col("n_chars").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"))
+    both = placed.select("range", "bin", "row", "guest", "given", F.col("n_chars").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).alias("edited"), (F.col("n_chars") - cut).alias("common"))
     # Draws are combined under short keys; what else belongs to a row comes from a second look at the shuffled texts.
     # The id is among the keys so that both looks ask for the same columns, and share one exchange.
     by = ["range", "bin", "row", "given"]
     place = by[:3]
     texts = {"text": "weight", "edited": "edited_weight"}
-    first = samples(weighted_words(both, texts, by), by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count, share)
+    first = samples(weighted_words(both, texts, by, "common"), by, {"weight": "fingerprint", "edited_weight": "edited_fingerprint"}, count, share)
     # One exchange for the draws themselves and for a look at those left open: the task's number keeps the filter above it.
     first = first.drop("given").repartition(*place)
     has_open = F.exists("fingerprint", lambda x: x.isNull()) | F.exists("edited_fingerprint", lambda x: x.isNull())
     left_open = first.withColumn("task", F.spark_partition_id()).where(has_open | (F.col("task") < 0)).select(*place)
     # Rare whatever the texts, as hashes decide, and three numbers a row: broadcast, for texts are not shuffled again.
     again = both.join(F.broadcast(left_open), place)
-    again = samples(weighted_words(again, texts, by), by, {"weight": "again", "edited_weight": "edited_again"}, count).drop("given")
+    again = samples(weighted_words(again, texts, by, "common"), by, {"weight": "again", "edited_weight": "edited_again"}, count).drop("given")
     drawn = first.join(again, place, "left").select(*place, F.coalesce("again", "fingerprint").alias("fingerprint"), F.coalesce("edited_again", "edited_fingerprint").alias("edited_fingerprint"))
     about = both.select(*by, "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     drawn = about.join(drawn, place)
